@@ -5,7 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Longer texts are not learned from (they are scored like all others).
+SAMPLE_CHARS = 200_000
 #: Bytes that part words: what ``bytes.split()`` splits at, space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,6 +53,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     return (
-        docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_label").cast("int").alias("label"))
     )
+
+
+def map_texts(docs: DataFrame, added: str, start, text: str = "text") -> DataFrame:
+    """docs with columns computed from whole texts, Arrow batch by batch.
+
+    ``added`` names the new columns (DDL); columns of docs with such a name are
+    replaced. ``start`` is called once for each task and returns a function of a
+    list of UTF-8 texts (null: empty) that gives one Arrow array for each column.
+    """
+    fields = T.StructType.fromDDL(added)
+    kept = [f for f in docs.schema.fields if f.name not in fields.names]
+    own = [f.name for f in kept]
+    extra = [] if text in own else [text]
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            new = work(byte_lists(batch.column(text)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], names=[*own, *fields.names])
+
+    source = docs.select(*(F.col(f"`{c}`") for c in [*own, *extra]))
+    return source.mapInArrow(run, T.StructType([*kept, *fields.fields]))
