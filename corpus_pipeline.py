@@ -1,7 +1,78 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, benchmark leaks, secrets, encoding.
+
+Each stage works on all that the one before it kept. The first three drop
+documents, the fourth masks secrets in the text, the last adds the text's
+pieces. A stage's rows are written to the shared checkpoint folder and read
+again by the next, so that a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontamination, near_duplicates, secret_scan, sentencepiece_codec, toxicity
+from lectern.llm.common import shared_folder, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under 0.5."""
+    model = toxicity.fit_for_contract(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; one row where an id repeats."""
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
+    out = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; n_chars follows the text."""
+    rows = secret_scan.redact(docs, secret_scan.default_forest(spark))
+    changed = F.when(F.col("n_secrets") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def add_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their pieces, and whether these decode to the text."""
+    rows = sentencepiece_codec.coded(docs)
+    return rows.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).select(*docs.columns, "pieces", "round_trip")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("secrets", mask_secrets),
+    ("sentencepiece", add_pieces),
+]
+
+#: Learned models and sketches have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(path := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, line_rules, near_duplicates, toxicity, url_filter
+from lectern.llm import decontamination, line_rules, near_duplicates, secret_scan, sentencepiece_codec, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (toxicity.op2_toxicity, decontamination.op3_benchmark_decontamination, url_filter.op6_url_filter, near_duplicates.op9_minhash_near_duplicates, line_rules.op10_quality_rules)}
+    return {f.__name__: f for f in (sentencepiece_codec.op1_sentencepiece, toxicity.op2_toxicity, decontamination.op3_benchmark_decontamination, secret_scan.op4_secret_scan, url_filter.op6_url_filter, near_duplicates.op9_minhash_near_duplicates, line_rules.op10_quality_rules)}
 
 
 def oracle_sql() -> dict:

@@ -27,11 +27,17 @@ def byte_lists(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names; one of our own only where it names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/lectern-checkpoints"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/lectern-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
