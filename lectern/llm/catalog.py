@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, line_rules, near_duplicates, secret_scan, sentencepiece_codec, toxicity, url_filter
+from lectern.llm import (
+    decontamination,
+    language_id,
+    line_rules,
+    lm_scoring,
+    near_duplicates,
+    quality_crf,
+    secret_scan,
+    sentencepiece_codec,
+    toxicity,
+    url_filter,
+)
+
+_QUERIES = (
+    sentencepiece_codec.op1_sentencepiece,
+    toxicity.op2_toxicity,
+    decontamination.op3_benchmark_decontamination,
+    secret_scan.op4_secret_scan,
+    quality_crf.op5_quality_classifier,
+    url_filter.op6_url_filter,
+    lm_scoring.op7_lm_scoring,
+    language_id.op8_language_id,
+    near_duplicates.op9_minhash_near_duplicates,
+    line_rules.op10_quality_rules,
+)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (sentencepiece_codec.op1_sentencepiece, toxicity.op2_toxicity, decontamination.op3_benchmark_decontamination, secret_scan.op4_secret_scan, url_filter.op6_url_filter, near_duplicates.op9_minhash_near_duplicates, line_rules.op10_quality_rules)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
