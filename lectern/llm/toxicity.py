@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is toxic if one of its sentences is. Sentence scores come from a
-logistic model over the sentence's words and are combined by noisy-or; the
+logistic model over the sentence's words and word beginnings and are combined by noisy-or; the
 model is trained from document labels alone and then points at the sentences
 that made a document toxic. Training runs in numpy on a bounded sample of
 labelled documents, scoring over every whole text.
@@ -9,6 +9,8 @@ labelled documents, scoring over every whole text.
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import labelled_sample, map_texts, remainder, small_batches, table
 
 #: Labelled documents to learn from, at most.
-SAMPLE_DOCS = 8000
-#: Words to learn weights for, at most; those in fewer documents are left out.
+SAMPLE_DOCS = 6000
+#: Features to learn weights for, at most; those in fewer documents are left out.
 VOCABULARY, MIN_DOCS = 60_000, 3
 ROUNDS, RATE, PENALTY = 160, 0.15, 2e-4
 START_BIAS = -7.0
@@ -39,11 +41,16 @@ class ToxicityModel:
 
 
 def sentences(raw: bytes) -> list[tuple[int, int, set[bytes]]]:
-    """(start, end, words) of each sentence with a word; offsets in UTF-8 bytes."""
+    """(start, end, features) of each sentence with a word; offsets in UTF-8 bytes.
+
+    Features are the words and, for inflected forms, their first 4 and 5 bytes.
+    """
     out, at = [], 0
     for part in raw.lower().translate(_CUT).split(b"\n"):
         if words := part.split():
-            out.append((at, at + len(part), set(words)))
+            kinds = set(words)
+            kinds.update([w[:4] + b"*" for w in kinds], [w[:5] + b"*" for w in kinds])
+            out.append((at, at + len(part), kinds))
         at += len(part) + 1
     return out
 
@@ -66,25 +73,26 @@ def noisy_or(raw: bytes, model: ToxicityModel) -> tuple[float, int, list[dict]]:
 
 def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     """Proximal Adam on the noisy-or likelihood. One class only: a constant model."""
-    bags = [[words for _, _, words in sentences(t)] for t in texts]
-    keep = [i for i, bag in enumerate(bags) if bag]
-    bags, y = [bags[i] for i in keep], np.array([labels[i] for i in keep], float)
-    if not bags or y.min() == y.max():
-        return ToxicityModel({}, 20.0 if bags and y.min() == 1 else -40.0)
-    docs: dict[bytes, int] = {}
-    for bag in bags:
-        for w in set().union(*bag):
-            docs[w] = docs.get(w, 0) + 1
+    labels = [y for t, y in zip(texts, labels, strict=True) if sentences(t)]
+    texts = [t for t in texts if sentences(t)]
+    y = np.array(labels, float)
+    if not texts or y.min() == y.max():
+        return ToxicityModel({}, 20.0 if texts and y.min() == 1 else -40.0)
+    docs: Counter = Counter()
+    for t in texts:
+        docs.update(set().union(*(s[2] for s in sentences(t))))
     known = sorted((w for w, n in docs.items() if n >= MIN_DOCS), key=lambda w: (-docs[w], w))[:VOCABULARY]
+    del docs
     number = {w: i for i, w in enumerate(known)}
-    words, lengths, doc_of = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [number[w] for w in s if w in number]
-            words += ids
+    words, lengths, doc_of = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for _, _, s in sentences(t):
+            ids = sorted(number[w] for w in s if w in number)
+            words.extend(ids)
             lengths.append(len(ids))
             doc_of.append(d)
-    words, doc_of = np.array(words, np.int64), np.array(doc_of)
+    n_docs = len(texts)
+    words, lengths, doc_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, lengths, doc_of))
     sentence_of = np.repeat(np.arange(len(lengths)), lengths)
     n = len(known)
     w, b = np.zeros(n + 1), START_BIAS  # the last weight is unused: keeps shapes when nothing is known
@@ -92,10 +100,10 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(sentence_of, w[words], len(lengths))
         p = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(doc_of, -np.logaddexp(0, z), len(bags))
+        log_clean = np.bincount(doc_of, -np.logaddexp(0, z), n_docs)
         toxic = np.maximum(-np.expm1(log_clean), 1e-9)
         # gradient of the negative log-likelihood for each sentence's logit
-        g = np.where(y[doc_of] == 1, -p * (np.exp(log_clean) / toxic)[doc_of], p) / len(bags)
+        g = np.where(y[doc_of] == 1, -p * (np.exp(log_clean) / toxic)[doc_of], p) / n_docs
         grad = np.concatenate([np.bincount(words, g[sentence_of], n + 1), [g.sum()]])
         first += 0.1 * (grad - first)
         second += 0.01 * (grad**2 - second)
