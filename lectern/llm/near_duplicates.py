@@ -10,12 +10,17 @@
    only enters the lists of its rarest values, as many as that bound requires.
    Values that a common passage puts into very many documents are thereby
    left out, except where the passage makes up most of a document.
-3. Lists link their members to one centre, so a large group of copies costs
-   one pair for each member. The sketch of the union estimates the Jaccard,
-   and pairs that pass are confirmed on their full sets.
-4. Lists whose members are not all in one component yet are tried with further
-   centres; in the end every pair across components that such a list still
-   holds is compared. Nothing is capped.
+3. Lists link their members to one centre, first the one with the fewest rare
+   values, so a large group of copies costs one pair for each member. The
+   sketch of the union estimates the Jaccard, and pairs that pass are confirmed
+   on their full sets.
+4. What is left are lists whose members are in several components. Short ones
+   compare every member outside their main component with all others. Members
+   of long ones are indexed anew by their full sets, each in the order of
+   rarity and as far as the threshold requires; a pair is compared only if the
+   places of the value they share leave room for enough common ones. That is
+   exact, and it leaves few pairs: a copy changed too much to be linked has
+   many rare shingles, which come first. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ SKETCH, INDEX = 64, 16
 SHARED = 5
 #: Pairs whose estimate is below this are not confirmed: over 5 deviations under the threshold.
 ESTIMATE = 0.5
-#: Rounds with one centre a list, before all remaining pairs are compared.
-CENTRE_ROUNDS = 3
-#: Go on with centres while the remaining pairs are more than this times the rows.
-PAIRS_A_ROW = 4
+#: Rounds with one centre a list, before remaining members are compared.
+CENTRE_ROUNDS = 2
+#: Longer lists are indexed anew by full sets.
+SHORT_LIST = 24
 SALT = 8
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -102,7 +107,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(value, id, n_shingles): the inverted lists that a class has to enter."""
+    """(value, id, n_shingles, enter): the inverted lists that a class has to enter.
+
+    ``enter`` counts a class's lists; the fewer rare values it has, the more.
+    """
     postings = classes.select("id", "n_shingles", F.explode(F.slice("sketch", 1, INDEX)).alias("value"))
     counts = postings.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     held = F.least("n_shingles", F.lit(INDEX))
@@ -114,8 +122,8 @@ def _lists(classes: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("own"))
         .withColumn("enter", (enter - (held - F.size("own"))).cast("int"))
         .where(F.col("enter") > 0)
-        .select("id", "n_shingles", F.explode(F.expr("slice(own, 1, enter)")).alias("x"))
-        .select(F.col("x.value").alias("value"), "id", "n_shingles")
+        .select("id", "n_shingles", "enter", F.explode(F.expr("slice(own, 1, enter)")).alias("x"))
+        .select(F.col("x.value").alias("value"), "id", "n_shingles", "enter")
     )
 
 
@@ -161,33 +169,64 @@ def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("component", "id"))
 
 
-def _open(lists: DataFrame) -> tuple[DataFrame, int, int]:
-    """Lists with members of several components, their rows and the pairs across."""
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists with members of several components; each with its size and main component."""
     parts = lists.groupBy("value", "component").agg(F.count("*").alias("n"))
-    state = parts.groupBy("value").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where(F.col("parts") > 1)
-    left = checkpointed(lists.join(state.select("value"), "value", "left_semi"))
-    rows, pairs = state.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("square")) / 2)).first()
-    return left, int(rows or 0), int(pairs or 0)
+    state = parts.groupBy("value").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    return lists.drop("members", "main").join(state.where(F.col("parts") > 1).drop("parts"), "value")
 
 
 def links_to_centres(lists: DataFrame, turn: int) -> DataFrame:
     """One pair for each list and member outside the centre's component: linear in the lists."""
-    order = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+    order = F.struct(-F.col("enter"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
     centres = lists.groupBy("value").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
     return (
         lists.join(centres, "value")
         .where(F.col("component") != F.col("centre.component"))
-        .select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+        .select(F.col("id").alias("b"), F.col("centre.id").alias("a"))
         .distinct()
     )
 
 
 def links_across(lists: DataFrame) -> DataFrame:
-    """All pairs that share an open list and are in different components, salted."""
-    one = lists.select("value", F.col("id").alias("a"), F.col("component").alias("part_a"), F.col("n_shingles").alias("size_a")).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)))
-    two = lists.select("value", F.col("id").alias("b"), F.col("component").alias("part_b"), F.col("n_shingles").alias("size_b")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-    near = (100 * F.col("size_a") >= PERCENT * F.col("size_b")) & (100 * F.col("size_b") >= PERCENT * F.col("size_a"))
-    return one.join(two, ["value", "salt"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & near).select("a", "b").distinct()
+    """Pairs of a list's members, one of them outside its main component, in different components.
+
+    ``place`` is where a member's own order has the value: what comes after it
+    bounds how much a pair that shares it first can have in common.
+    """
+    columns = ["value", "id", "component", "n_shingles", "place"]
+    other = lists.where(F.col("component") != F.col("main")).select(*columns).toDF("value", "a", "part_a", "size_a", "place_a")
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    member = lists.select(*columns).toDF("value", "b", "part_b", "size_b", "place_b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
+    need = F.ceil(PERCENT * (F.col("size_a") + F.col("size_b")) / (100 + PERCENT))
+    room = (F.col("size_a") - F.col("place_a") >= need) & (F.col("size_b") - F.col("place_b") >= need)
+    pairs = other.join(member, (other["value"] == member["value"]) & (other["salt"] == member["salt"]) & (F.col("part_a") != F.col("part_b")) & room)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _set_batches(batches):
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [(shingle_set(raw, hashes) >> np.uint64(1)).astype(np.int64) for raw in byte_lists(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "values"])
+
+
+def _full_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Lists by full sets of (id, component): the rarest values first, as many as the threshold needs."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = texts.join(members, "id").select("id", "component", "text").mapInArrow(_set_batches, "id bigint, component bigint, values array<bigint>")
+    postings = sets.select("id", "component", F.size("values").cast("bigint").alias("n_shingles"), F.explode("values").alias("value")).distinct()
+    counts = postings.groupBy("value").agg(F.count("*").alias("members"))
+    first = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * PERCENT / 100) + 1).cast("int")
+    return (
+        postings.join(counts, "value")
+        .groupBy("id", "component", "n_shingles")
+        .agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("own"))
+        .withColumn("first", first)
+        .select("id", "component", "n_shingles", F.posexplode(F.expr("slice(own, 1, first)")).alias("place", "x"))
+        .where(F.col("x.members") > 1)
+        .select(F.col("x.value").alias("value"), "id", "component", "n_shingles", "place")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,25 +245,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = checkpointed(found.join(first, ["doc_id", "high", "low"], "left_semi").dropDuplicates(["doc_id", "high", "low"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch"))
 
     lists = checkpointed(_lists(classes))
-    labelled = lists.withColumn("component", F.col("id"))
+    left = lists.withColumn("component", F.col("id"))
     known = None  # links confirmed so far, as stars
-    left, n_rows, pairs = labelled, None, None
-    for turn in range(CENTRE_ROUNDS + 1):
-        if turn:
-            left, n_rows, pairs = _open(_labelled(left.drop("component"), known))
-            if not pairs:
-                break
-        last = turn == CENTRE_ROUNDS or (pairs is not None and pairs <= PAIRS_A_ROW * n_rows)
-        tried = links_across(left) if last else links_to_centres(left, turn)
-        passed = _estimated(tried, classes)
-        if not last:  # the most similar centre is enough for now
-            passed = passed.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-        links = _confirmed(passed, docs)
+
+    def extended(links: DataFrame) -> DataFrame:
         if known is not None:
             links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        known = components(links)
-        if last:
-            break
+        return components(links)
+
+    for turn in range(CENTRE_ROUNDS):
+        passed = _estimated(links_to_centres(left, turn), classes)
+        # the most similar centre is enough for now
+        passed = passed.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+        known = extended(_confirmed(passed, docs))
+        left = checkpointed(_open(_labelled(left.drop("component"), known)))
+    short = left.where(F.col("members") <= SHORT_LIST).withColumn("place", F.lit(0))
+    long = left.where(F.col("members") > SHORT_LIST).select("id", "component").distinct()
+    pairs = links_across(short)
+    if not long.isEmpty():
+        pairs = pairs.unionByName(links_across(_open(checkpointed(_full_lists(long, docs))))).distinct()
+    known = extended(_confirmed(_estimated(pairs, classes), docs))
 
     label = known.select(F.col("node").alias("id"), "component")
     member = rows.drop("sketch").join(by_set, ["n_shingles", "high", "low"], "left").join(label, "id", "left")
