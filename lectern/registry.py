@@ -1,14 +1,13 @@
-"""Queries over the driver's tables, by name, with their oracle SQL."""
+"""All queries over the driver's tables, by name, with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.queries import base, boxes  # noqa: F401
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return dict(base.ORACLES)
