@@ -175,14 +175,14 @@ WITH d AS (
          string_split(coalesce(text, ''), chr(10)) AS lines
   FROM documents
 ), w AS (
-  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
 ), grams AS (
-  SELECT doc_id, at, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS n
-  FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+  SELECT doc_id, pos, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS n
+  FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
 ), twice AS (
-  SELECT doc_id, at FROM (SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, gram) AS m FROM grams WHERE n = 8) WHERE m > 1
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS m FROM grams WHERE n = 8) WHERE m > 1
 ), repeated AS (
-  SELECT doc_id, count(DISTINCT at + k) AS n_repeat_words FROM twice, range(8) t(k) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM twice, range(8) t(k) GROUP BY doc_id
 ), raw_lines AS (
   SELECT doc_id, host, unnest(lines) AS line FROM d
 ), lines AS (
