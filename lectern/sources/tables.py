@@ -29,7 +29,7 @@ def character_dictionary(spark: SparkSession, path: str) -> DataFrame:
     Index 0 is the blank, shown as '#'; a space follows the last line's entry.
     Characters repeat, so rows are told apart by index alone.
     """
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
     return text.select(F.posexplode(F.concat(F.array(F.lit("#")), lines, F.array(F.lit(" ")))).alias("index", "character"))
 
