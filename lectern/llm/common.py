@@ -41,6 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows_each: int = 50_000) -> tuple[DataFrame, int]:
+    """df checkpointed, and its rows; in no more partitions than these fill.
+
+    Small results of wide shuffles would otherwise pass hundreds of nearly
+    empty partitions on to every shuffle that follows.
+    """
+    kept = checkpointed(df)
+    n = kept.count()
+    return kept.coalesce(max(1, -(-n // rows_each))), n
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import settled
+
+#: Edges a partition, where fewer partitions are enough.
+EDGES_EACH = 50_000
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -19,16 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     minima are gathered for a node, so one with very many links is no
     bottleneck; each round is written to the shared checkpoint folder.
     """
-    edges = checkpointed(_distinct(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    edges, n = settled(_distinct(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), EDGES_EACH)
     mark = None
-    while True:
-        seen = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first()
-        if seen == mark or not seen[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = seen
+    while n:
+        seen = (n, *edges.agg(F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first())
+        if seen == mark:
+            break
+        mark, few = seen, max(1, -(-2 * n // EDGES_EACH))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _distinct(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _distinct(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few)).coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(_distinct(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        edges, n = settled(_distinct(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few)), EDGES_EACH)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_lists, checkpointed, small_batches, table
+from lectern.llm.common import byte_lists, checkpointed, settled, small_batches, table
 from lectern.llm.components import components
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ CENTRE_ROUNDS = 2
 #: Longer lists are indexed anew by full sets.
 SHORT_LIST = 24
 SALT = 8
+#: Up to this many pairs are broadcast, so that only the sketches and texts of their members move; more are shuffled.
+BROADCAST_PAIRS = 500_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -127,14 +129,25 @@ def _lists(classes: DataFrame) -> DataFrame:
     )
 
 
+def _with_members(pairs: DataFrame, few: bool, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """pairs (a, b, ...) with columns of rows (id, ...), as name_a and name_b.
+
+    A few pairs go to the rows; what then moves is the rows of b once a pair,
+    and those of a once.
+    """
+    a = rows.select(F.col("id").alias("a"), *(F.col(c).alias(f"{n}_a") for c, n in names.items()))
+    b = rows.select(F.col("id").alias("b"), *(F.col(c).alias(f"{n}_b") for c, n in names.items()))
+    if few:
+        return b.join(F.broadcast(pairs), "b").join(a.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi").hint("shuffle_merge"), "a")
+    return pairs.join(b, "b").join(a, "a")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and union sketches leave, with the estimate."""
-    own = classes.select("id", "n_shingles", "sketch")
-    left = own.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    right = own.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    pairs, n = settled(pairs)
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     return (
-        pairs.join(left, "a").join(right, "b")
+        _with_members(pairs, n <= BROADCAST_PAIRS, classes, {"n_shingles": "size", "sketch": "sketch"})
         .where((100 * F.col("size_a") >= PERCENT * F.col("size_b")) & (100 * F.col("size_b") >= PERCENT * F.col("size_a")))
         .withColumn("union", union)
         .withColumn("estimate", F.size(F.array_intersect("union", F.array_intersect("sketch_a", "sketch_b"))) / F.size("union"))
@@ -158,9 +171,10 @@ def _confirm_batches(batches):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as PERCENT."""
+    pairs, n = settled(pairs.select("a", "b"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm_batches, "a bigint, b bigint")
+    rows = _with_members(pairs, n <= BROADCAST_PAIRS, texts, {"text": "text"})
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm_batches, "a bigint, b bigint")
 
 
 def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -214,7 +228,8 @@ def _set_batches(batches):
 def _full_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Lists by full sets of (id, component): the rarest values first, as many as the threshold needs."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(members, "id").select("id", "component", "text").mapInArrow(_set_batches, "id bigint, component bigint, values array<bigint>")
+    members, n = settled(members)
+    sets = texts.join(F.broadcast(members) if n <= BROADCAST_PAIRS else members, "id").select("id", "component", "text").mapInArrow(_set_batches, "id bigint, component bigint, values array<bigint>")
     postings = sets.select("id", "component", F.size("values").cast("bigint").alias("n_shingles"), F.explode("values").alias("value")).distinct()
     counts = postings.groupBy("value").agg(F.count("*").alias("members"))
     first = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * PERCENT / 100) + 1).cast("int")
@@ -244,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = by_set.select(F.col("id").alias("doc_id"), "high", "low")
     classes = checkpointed(found.join(first, ["doc_id", "high", "low"], "left_semi").dropDuplicates(["doc_id", "high", "low"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch"))
 
-    lists = checkpointed(_lists(classes))
+    lists, _ = settled(_lists(classes))
     left = lists.withColumn("component", F.col("id"))
     known = None  # links confirmed so far, as stars
 
@@ -258,12 +273,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # the most similar centre is enough for now
         passed = passed.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
         known = extended(_confirmed(passed, docs))
-        left = checkpointed(_open(_labelled(left.drop("component"), known)))
+        left, _ = settled(_open(_labelled(left.drop("component"), known)))
     short = left.where(F.col("members") <= SHORT_LIST).withColumn("place", F.lit(0))
     long = left.where(F.col("members") > SHORT_LIST).select("id", "component").distinct()
     pairs = links_across(short)
     if not long.isEmpty():
-        pairs = pairs.unionByName(links_across(_open(checkpointed(_full_lists(long, docs))))).distinct()
+        full, _ = settled(_full_lists(long, docs))
+        pairs = pairs.unionByName(links_across(_open(full))).distinct()
     known = extended(_confirmed(_estimated(pairs, classes), docs))
 
     label = known.select(F.col("node").alias("id"), "component")
