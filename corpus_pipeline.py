@@ -50,7 +50,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def add_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their pieces, and whether these decode to the text."""
     rows = sentencepiece_codec.coded(docs)
-    return rows.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).select(*docs.columns, "pieces", "round_trip")
+    own = [c for c in docs.columns if c not in ("pieces", "round_trip")]
+    return rows.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).select(*own, "pieces", "round_trip")
 
 
 STAGES = [
