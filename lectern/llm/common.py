@@ -63,12 +63,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     The ids come first, ordered by hash, so that only ``bound`` ids are
     broadcast and only their texts leave the executors.
     """
-    ids = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(label).alias("_label"))
-        .where(learn)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).where(learn)
+    # a threshold on the hash first: only about twice the bound is sorted
+    share = min(1.0, 2 * bound / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+    ids = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return (
         docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_label").cast("int").alias("label"))
