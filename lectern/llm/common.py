@@ -70,7 +70,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     ids = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return (
         docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_label").cast("int").alias("label"))
+        # rows that repeat an id count once
+        .groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("_label").cast("int").alias("label"))
     )
 
 
