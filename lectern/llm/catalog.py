@@ -34,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_url_filter": url_filter.OP6_SQL, "op10_quality_rules": line_rules.OP10_SQL}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op9_minhash_near_duplicates": near_duplicates.OP9_SQL, "op10_quality_rules": line_rules.OP10_SQL}
