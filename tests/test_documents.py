@@ -11,6 +11,7 @@ from lectern.config import ConfigError, Settings
 from lectern.functions import languages
 from lectern.operators import language, questions, results, validation
 from lectern.plans import analysis
+from lectern.plans.models import generate
 from lectern.sources import office_files, pdf_files, text_files
 from lectern.streaming import documents as streaming
 
@@ -135,6 +136,29 @@ def test_language_detection(spark):
     assert [r["f"] for r in rows.select(language.detected(F.col("t"), F.col("l")).alias("f")).collect()] == ["french", "greek"]
 
 
+def test_catalog_file(spark, tmp_path):
+    entry = {"name": "persian", "model_file": "a.onnx", "dict_file": "a.txt", "is_script_model": True, "directionality": "rtl"}
+    (tmp_path / "c.json").write_text(json.dumps({"persian": entry, "english": {"name": "english", "model_file": "e.onnx", "dict_file": "e.txt"}}, indent=1))
+    models = languages.read_catalog(spark, str(tmp_path / "c.json"), "models/edge")
+    rows = {r["language"]: r for r in models.collect()}
+    assert rows["persian"]["model_file"] == "models/edge/a.onnx" and rows["english"]["directionality"] == "ltr" and rows["english"]["is_script_model"] is False
+    assert languages.model_info(models).where("model_file = 'models/edge/a.onnx'").first()["directionality"] == "rtl"
+
+
+def test_language_of_samples(spark):
+    groups = languages.model_groups(languages.catalog(languages.catalog_rows(spark)), script_only=True)
+    latin, greek = "text_recognition_latin.onnx", "text_recognition_el.onnx"
+    samples = spark.createDataFrame([(1, latin, 0, "der Hund", 0.9), (1, latin, 1, "ist nicht mit", None), (1, greek, 0, "x", 0.1), (1, greek, 1, "y", 0.2)], "page int, model_file string, ord int, text string, score double")
+    row = language.language_of_samples(samples, groups, ["page"]).first()
+    assert (row["language"], row["model_file"], row["confidence"]) == ("german", latin, 0.45)
+
+
+def test_greedy_tokens():
+    scores = {(5, 6): [0, 1, 1], (2,): [3, 0, 0], (0,): [0, 9, 0]}
+    assert generate(lambda new: scores[tuple(new)], [5, 6], {1}) == [2, 0]
+    assert generate(lambda new: [0, 1], [1], set(), limit=3) == [1, 1, 1]
+
+
 def test_questions(spark):
     pages = spark.createDataFrame([(1, 1, "text", ["q1", " ", "q2"]), (1, 2, " \n", ["q"]), (2, 1, None, ["q"]), (3, 1, "x", [])], "doc_id int, page_number int, text string, questions array<string>")
     rows = questions.prompts(pages).orderBy("ord").collect()
