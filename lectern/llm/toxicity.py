@@ -73,14 +73,20 @@ def noisy_or(raw: bytes, model: ToxicityModel) -> tuple[float, int, list[dict]]:
 
 def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     """Proximal Adam on the noisy-or likelihood. One class only: a constant model."""
-    labels = [y for t, y in zip(texts, labels, strict=True) if sentences(t)]
-    texts = [t for t in texts if sentences(t)]
+    worded = [bool(t.translate(_CUT).split()) for t in texts]
+    labels = [y for y, w in zip(labels, worded, strict=True) if w]
+    texts = [t for t, w in zip(texts, worded, strict=True) if w]
     y = np.array(labels, float)
     if not texts or y.min() == y.max():
         return ToxicityModel({}, 20.0 if texts and y.min() == 1 else -40.0)
+    features = lambda t: set().union(*(s[2] for s in sentences(t)))
+    # most features are rare: hashed counts, never too low, keep them out of the exact ones
+    rough, mask = np.zeros(1 << 21, np.int32), (1 << 21) - 1
+    for t in texts:
+        rough[np.fromiter((hash(w) & mask for w in features(t)), np.int64)] += 1
     docs: Counter = Counter()
     for t in texts:
-        docs.update(set().union(*(s[2] for s in sentences(t))))
+        docs.update(w for w in features(t) if rough[hash(w) & mask] >= MIN_DOCS)
     known = sorted((w for w, n in docs.items() if n >= MIN_DOCS), key=lambda w: (-docs[w], w))[:VOCABULARY]
     del docs
     number = {w: i for i, w in enumerate(known)}
