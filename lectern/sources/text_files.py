@@ -11,20 +11,61 @@ from pyspark.sql import functions as F
 
 from lectern.operators.validation import trim
 
-_PAGE = ("page_number", "text", "error_kind")
+def _text() -> Column:
+    """The content as text; null where it is not UTF-8."""
+    text = F.col("content").cast("string")
+    return F.when(F.call_function("is_valid_utf8", text), text)
 
 
-def _pages(docs: DataFrame, text: Column, error: str) -> DataFrame:
+def _trimmed_lines(text: Column) -> Column:
+    """Lines of a text without a comma, each without surrounding white space."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(text, r"\n$", ""), "\n"), trim), "\n")
+
+
+def _plain_records(text: Column) -> Column:
+    """Records of a text without quotes: a record is a line, the first is the header, widths must agree."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+    fields = lambda line: F.size(F.split(line, ","))
+    kept = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: fields(x) == fields(lines[0]))
+    return F.array_join(kept, "\n")
+
+
+def _csv_text() -> Column:
+    """Page text of a CSV file's ``_text``; only quotes and carriage returns need the Python reader."""
+
+    @F.pandas_udf("string")
+    def records(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else csv_records(t))
+
+    text = F.col("_text")
+    comma, odd = F.instr(text, ",") > 0, (F.instr(text, '"') > 0) | (F.instr(text, "\r") > 0)
+    return F.when(~comma, _trimmed_lines(text)).when(~odd, _plain_records(text)).otherwise(records(F.when(comma & odd, text)))
+
+
+def _page(docs: DataFrame, text: Column, error: Column) -> DataFrame:
     """One page for each document; bytes that are not UTF-8 are an error."""
-    fine = F.call_function("is_valid_utf8", F.col("content").cast("string"))
-    return docs.select(
-        "doc_id", F.lit(1).alias("page_number"), F.when(fine, text).alias("text"), F.when(~F.coalesce(fine, F.lit(False)), error).alias("error_kind")
-    )
+    rows = docs.withColumn("_text", _text())
+    return rows.select("doc_id", F.lit(1).alias("page_number"), text.alias("text"), F.when(F.col("_text").isNull(), error).alias("error_kind"))
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_number, text, error_kind) of text files (doc_id, content)."""
-    return _pages(docs, F.col("content").cast("string"), "TextLoadError")
+    return _page(docs, F.col("_text"), F.lit("TextLoadError"))
+
+
+def csv_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_number, text, error_kind) of CSV files, in one pass."""
+    return _page(docs, _csv_text(), F.lit("CsvLoadError"))
+
+
+def text_and_csv_pages(docs: DataFrame) -> DataFrame:
+    """Both, by document_type, in one pass; a page without text for images."""
+    kind = F.col("document_type")
+    image = kind.isin("Png", "Jpeg", "Tiff")
+    rows = docs.withColumn("_text", F.when(~image, _text()))
+    text = F.when(kind == "Csv", _csv_text()).otherwise(F.col("_text"))
+    error = F.when(F.col("_text").isNull() & ~image, F.when(kind == "Csv", "CsvLoadError").otherwise("TextLoadError"))
+    return rows.select("doc_id", F.lit(1).alias("page_number"), text.alias("text"), error.alias("error_kind"))
 
 
 def csv_records(text: str) -> str:
@@ -35,37 +76,3 @@ def csv_records(text: str) -> str:
     """
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=False) if r]
     return "\n".join(",".join(r) for r in rows[1:] if len(r) == len(rows[0]))
-
-
-def trimmed_lines() -> Column:
-    """Lines of a text without a comma, each without surrounding white space."""
-    lines = F.split(F.regexp_replace(F.col("_text"), r"\n$", ""), "\n")
-    return F.array_join(F.transform(lines, trim), "\n")
-
-
-def csv_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, page_number, text, error_kind) of CSV files.
-
-    Texts without a comma stay in the JVM; only quoting needs the Python reader.
-    """
-
-    @F.pandas_udf("string")
-    def records(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else csv_records(t))
-
-    rows = _pages(docs, F.col("content").cast("string"), "CsvLoadError").withColumnRenamed("text", "_text")
-    plain = F.split(F.regexp_replace(F.col("_text"), r"\r?\n$", ""), "\n")
-    quoted = F.instr("_text", '"') > 0
-    # without quotes a record is a line: the first is the header, widths must agree
-    unquoted = F.expr(
-        r"""array_join(filter(slice(_lines, 2, greatest(size(_lines), 1)), x -> x != '' AND size(split(x, ',')) = size(split(_lines[0], ','))), '\n')"""
-    )
-    rows = rows.withColumn("_lines", F.filter(F.transform(plain, lambda x: F.regexp_replace(x, r"\r$", "")), lambda x: x != ""))
-    has_comma = F.instr("_text", ",") > 0
-    odd = quoted | (F.instr("_text", "\r") > 0)
-    simple = rows.where(~has_comma).withColumn("text", trimmed_lines())
-    fast = rows.where(has_comma & ~odd).withColumn("text", unquoted)
-    slow = rows.where(has_comma & odd).withColumn("text", records("_text"))
-    failed = rows.where(F.col("_text").isNull()).withColumn("text", F.lit(None).cast("string"))
-    out = simple.unionByName(fast).unionByName(slow).unionByName(failed)
-    return out.select("doc_id", *_PAGE)
