@@ -26,6 +26,8 @@ SAMPLE_DOCS = 6000
 VOCABULARY, MIN_DOCS = 60_000, 3
 ROUNDS, RATE, PENALTY = 160, 0.15, 2e-4
 START_BIAS = -7.0
+#: Documents whose gradient is computed at a time: bounds the driver's memory.
+DOCS_AT_ONCE = 250
 #: Sentences at or above this score are reported.
 OFFENDING = 0.5
 
@@ -99,18 +101,26 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
             doc_of.append(d)
     n_docs = len(texts)
     words, lengths, doc_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, lengths, doc_of))
-    sentence_of = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    first_of = np.searchsorted(doc_of, np.arange(0, n_docs + DOCS_AT_ONCE, DOCS_AT_ONCE))
     n = len(known)
     w, b = np.zeros(n + 1), START_BIAS  # the last weight is unused: keeps shapes when nothing is known
     first, second = np.zeros(n + 2), np.zeros(n + 2)
     for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(sentence_of, w[words], len(lengths))
-        p = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(doc_of, -np.logaddexp(0, z), n_docs)
-        toxic = np.maximum(-np.expm1(log_clean), 1e-9)
-        # gradient of the negative log-likelihood for each sentence's logit
-        g = np.where(y[doc_of] == 1, -p * (np.exp(log_clean) / toxic)[doc_of], p) / n_docs
-        grad = np.concatenate([np.bincount(words, g[sentence_of], n + 1), [g.sum()]])
+        grad = np.zeros(n + 2)
+        for low, high in zip(first_of, first_of[1:], strict=False):
+            if low == high:
+                continue
+            own, doc = words[ends[low] : ends[high]], doc_of[low:high] - doc_of[low]
+            sentence = np.repeat(np.arange(high - low, dtype=np.int32), lengths[low:high])
+            z = b + np.bincount(sentence, w[own], high - low)
+            p = 1 / (1 + np.exp(-z))
+            log_clean = np.bincount(doc, -np.logaddexp(0, z))
+            toxic = np.maximum(-np.expm1(log_clean), 1e-9)
+            # gradient of the negative log-likelihood for each sentence's logit
+            g = np.where(y[doc_of[low:high]] == 1, -p * (np.exp(log_clean) / toxic)[doc], p) / n_docs
+            grad[:-1] += np.bincount(own, g[sentence], n + 1)
+            grad[-1] += g.sum()
         first += 0.1 * (grad - first)
         second += 0.01 * (grad**2 - second)
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
@@ -123,7 +133,9 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = SAMPLE_DOCS) -> ToxicityModel:
     """Learn from at most ``bound`` documents that have a label where ``learn`` holds."""
     rows = labelled_sample(docs, labels, "toxic", learn, bound).orderBy("doc_id", "text").toPandas()
-    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist())
+    texts, found = [t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist()
+    del rows
+    return train(texts, found)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
