@@ -15,6 +15,7 @@ which is always written as bytes so that it is not read as a space.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
@@ -54,7 +55,7 @@ def load_vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
 
 
 class Encoder(dict):
-    """Ids of a word (spaces as SPACE); as a mapping it remembers words."""
+    """Ids of a word (spaces as SPACE); as a mapping it remembers words, their ids as 32-bit bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -70,8 +71,8 @@ class Encoder(dict):
         inner = [p for p in (vocabulary.pieces[i] for i in normal) if SPACE in p.lstrip(SPACE) or "\n" in p]
         self.by_word = not inner  # else a text is one word
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.segment(word))
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.segment(word)).tobytes()
         if len(word) <= REMEMBER_LENGTH:
             if len(self) >= REMEMBER:
                 self.clear()
@@ -108,14 +109,12 @@ class Encoder(dict):
         return [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
 
     def _words(self, text: str):
-        if SPACE in text:  # a real U+2581: its own word, as bytes
-            for k, part in enumerate(re.split(f"({SPACE})", text)):
-                if k % 2:
-                    yield None
-                elif part or not k:
-                    yield from self._plain(part, not k)
-        else:
-            yield from self._plain(text, True)
+        """Words of a text with a real U+2581, which is a word of its own: None."""
+        for k, part in enumerate(re.split(f"({SPACE})", text)):
+            if k % 2:
+                yield None
+            elif part or not k:
+                yield from self._plain(part, not k)
 
     def _plain(self, text: str, first: bool):
         if not self.by_word:
@@ -135,14 +134,25 @@ class Encoder(dict):
                 for word in rest:
                     yield SPACE + word
 
-    def encode(self, raw: bytes) -> list[int]:
-        """Ids of a UTF-8 text; none for an empty one."""
+    def packed(self, raw: bytes) -> bytes:
+        """Ids of a UTF-8 text as 32-bit bytes; none for an empty one."""
         if not raw:
-            return []
-        out: list[int] = []
-        for word in self._words(raw.decode("utf-8", "surrogateescape")):
-            out += self._as_bytes(SPACE) if word is None else self[word]
-        return out
+            return b""
+        text = raw.decode("utf-8", "surrogateescape")
+        if SPACE in text:
+            real = array("i", self._as_bytes(SPACE)).tobytes()
+            return b"".join(real if word is None else self[word] for word in self._words(text))
+        return b"".join(map(self.__getitem__, self._plain(text, True)))
+
+    def encode(self, raw: bytes) -> list[int]:
+        """Ids of a UTF-8 text."""
+        return array("i", self.packed(raw)).tolist()
+
+
+def id_lists(parts: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their 32-bit bytes."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -155,7 +165,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
     def start():
         encoder = Encoder(shared.value)
-        return lambda texts: [pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32()))]
+        return lambda texts: [id_lists([encoder.packed(t) for t in texts])]
 
     return map_texts(docs, "pieces array<int>", start, text)
 
