@@ -127,7 +127,7 @@ _EDGES = """edges AS (
 ), marked AS (
   SELECT *, CASE WHEN edge - lag(edge) OVER (PARTITION BY page, axis ORDER BY edge) > 10 THEN 1 ELSE 0 END AS fresh FROM edges
 ), runs AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY page, axis ORDER BY edge ROWS UNBOUNDED PRECEDING) AS line_index FROM marked
+  SELECT *, sum(fresh) OVER (PARTITION BY page, axis ORDER BY edge RANGE UNBOUNDED PRECEDING) AS line_index FROM marked
 ), grid AS (
   SELECT page, axis, line_index::INT AS line_index, (sum(edge) // count(*))::INT AS line FROM runs GROUP BY ALL)"""
 
