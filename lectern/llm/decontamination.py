@@ -7,7 +7,10 @@ decides whether to move on. Each table samples a few steps of a walk of its own
 as the window's key; windows and items that share a key in any table are
 candidates, and the edit distance of each candidate is then computed exactly.
 The number of tables follows from the key agreement that is measured, with
-seeded random edits at the distance limit, on the items themselves.
+seeded random edits at the distance limit, on the items themselves. Agreement
+falls with the length, so longer items would need hundreds of tables: where
+more than MAX_TABLES are needed no table is built, and every window that may
+match by the filter below goes straight to the exact distance.
 
 Windows that cannot match are not walked: an item's rarer half has to be in a
 window but for as many words as may be edited, so windows with fewer of such
@@ -31,8 +34,10 @@ EDIT_SHARE = 0.2
 MIN_ITEM_WORDS = 5
 #: Share of copies at the distance limit that the tables have to find.
 RECALL = 0.99
-#: Steps sampled for a key, and the most tables that are ever built.
+#: Steps sampled for a key, and the most tables that are built; lengths that need more are searched without tables.
 KEY_STEPS, MAX_TABLES = 4, 64
+#: Walks, and copies at the limit, that key agreement is measured with.
+PILOT_TABLES, PILOT_COPIES = 64, 64
 #: Benchmark words that are broadcast at a time; larger sets take several passes.
 BLOCK_WORDS = 200_000
 
@@ -62,6 +67,9 @@ class LengthClass:
     keys: list = field(default_factory=list)  # by table: sorted keys and the items in that order
     rare: np.ndarray | None = None  # by symbol
     need: int = 0  # rare words that a window must hold
+    exact: bool = False  # no tables: items are found by their own rare words
+    own_rare: dict[int, np.ndarray] = field(default_factory=dict)  # if exact, by item: its rare symbols
+    having: dict[int, np.ndarray] = field(default_factory=dict)  # if exact, by rare symbol: its items
 
 
 @dataclass
@@ -119,6 +127,18 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array((out + [0] * len(item))[: len(item)])
 
 
+def _tables_needed(agree: np.ndarray, recall: float) -> int | None:
+    """Tables that find ``recall`` of copies with these chances of a shared key; None: more than MAX_TABLES.
+
+    The mean is over copies, not over their chances: copies differ, and those
+    that agree least are the ones that are missed.
+    """
+    for tables in range(1, MAX_TABLES + 1):
+        if ((1 - agree) ** tables).mean() <= 1 - recall:
+            return tables
+    return None
+
+
 def build_index(rows: list[tuple[int, bytes]], share: float = EDIT_SHARE, recall: float = RECALL) -> BenchmarkIndex:
     """Index of (item_id, text); empty and very short items are left out."""
     parsed = [(i, w) for i, w in ((i, words_of(t)) for i, t in rows) if len(w) >= MIN_ITEM_WORDS]
@@ -135,25 +155,33 @@ def build_index(rows: list[tuple[int, bytes]], share: float = EDIT_SHARE, recall
     for length, cls in classes.items():
         limit = edit_limit(length, share)
         local = np.stack([texts[i] for i in cls.items])
-        _tables(cls, 16, rng)
-        trial = local[rng.integers(len(local), size=min(64, 8 * len(local)))]
-        changed = np.stack([_edited(x, limit, rng) for x in trial])
-        agree = float((_walk(trial, cls) == _walk(changed, cls)).mean())
+        tables = 1
         if limit:
-            agree = min(max(agree, 1e-3), 0.999)
-            tables = min(MAX_TABLES, max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))))
+            _tables(cls, PILOT_TABLES, rng)
+            trial = local[rng.integers(len(local), size=PILOT_COPIES)]
+            changed = np.stack([_edited(x, limit, rng) for x in trial])
+            needed = _tables_needed((_walk(trial, cls) == _walk(changed, cls)).mean(axis=0), recall)
+            cls.exact, tables = needed is None, max(4, needed or 0)
+        if cls.exact:
+            cls.tables, cls.seeds, cls.samples = 0, None, []
         else:
-            tables = 1
-        _tables(cls, tables, rng)
-        keys = _walk(local, cls)
-        for t in range(tables):
-            order = np.argsort(keys[t], kind="stable")
-            cls.keys.append((keys[t][order], np.array(cls.items)[order]))
+            _tables(cls, tables, rng)
+            keys = _walk(local, cls)
+            for t in range(tables):
+                order = np.argsort(keys[t], kind="stable")
+                cls.keys.append((keys[t][order], np.array(cls.items)[order]))
         # the rarer half of each item: fewest items with the word, longer words first
         cls.rare, half = np.zeros(len(symbols) + 1, bool), (length + 1) // 2
+        having: dict[int, list[int]] = {}
         for k in cls.items:
             words = sorted(parsed[k][1], key=lambda w: (counts[w], -len(w), w))[:half]
-            cls.rare[[symbols[w] for w in words]] = True
+            own = np.unique([symbols[w] for w in words])
+            cls.rare[own] = True
+            if cls.exact:
+                cls.own_rare[k] = own
+                for symbol in own.tolist():
+                    having.setdefault(symbol, []).append(k)
+        cls.having = {symbol: np.array(items) for symbol, items in having.items()}
         cls.need = max(1, half - limit)
     return BenchmarkIndex([i for i, _ in parsed], symbols, texts, sorted(classes.values(), key=lambda c: c.length), share)
 
@@ -211,6 +239,22 @@ class Searcher:
                 found[int(c)] = starts
         return found
 
+    def _by_rare_words(self, doc: np.ndarray, cls: LengthClass, starts: np.ndarray):
+        """(item, starts) of all windows that hold enough of the item's own rare words: no copy is lost."""
+        mark = np.zeros(len(cls.rare), bool)
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > cls.length) + 1):
+            part = doc[group[0] : group[-1] + cls.length]
+            symbols = part[cls.rare[part]]
+            items, hits = np.unique(np.concatenate([cls.having[s] for s in symbols.tolist()]), return_counts=True)
+            for item in items[hits >= cls.need].tolist():
+                mark[cls.own_rare[item]] = True
+                total = np.concatenate([[0], np.cumsum(mark[part])])
+                mark[cls.own_rare[item]] = False
+                low = group - group[0]
+                kept = group[total[np.minimum(low + cls.length, len(part))] - total[low] >= cls.need]
+                if kept.size:
+                    yield item, kept
+
     def search(self, texts: list[bytes]) -> list[list[dict]]:
         """For each text, its nearest match of each item within the limit."""
         index, get = self.index, self.index.symbols.get
@@ -224,6 +268,10 @@ class Searcher:
         for c, parts in by_class.items():
             cls = index.classes[c]
             for d, starts in parts:
+                if cls.exact:
+                    for item, kept in self._by_rare_words(docs[d], cls, starts):
+                        near.setdefault((d, item), set()).update(kept.tolist())
+                    continue
                 keys = _walk(_windows(docs[d], starts, cls.length), cls)
                 for t, (sorted_keys, items) in enumerate(cls.keys):
                     low, high = np.searchsorted(sorted_keys, keys[t], "left"), np.searchsorted(sorted_keys, keys[t], "right")

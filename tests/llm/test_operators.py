@@ -135,6 +135,25 @@ def test_decontamination_recall_and_clean_texts():
     assert not searcher.search([" ".join(items[0][1].split()[: len(items[0][1].split()) // 2]).encode()])[0]
 
 
+@pytest.mark.parametrize("length", [60, 100, 200, 400])
+def test_decontamination_recall_of_long_items(length):
+    r = random.Random(length)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(3000)]
+    word = lambda: r.choice(vocabulary)
+    items = [(i, [word() for _ in range(length)]) for i in range(30)]
+    searcher = decontamination.Searcher(decontamination.build_index([(i, " ".join(w).encode()) for i, w in items]))
+    for edits in (0, decontamination.edit_limit(length) * 3 // 4, decontamination.edit_limit(length)):
+        found = 0
+        for i, words in items:
+            copy = list(words)
+            for _ in range(edits):
+                at, kind = r.randrange(len(copy)), r.randrange(3)
+                copy[at : at + (kind != 1)] = [] if kind == 2 else [word()]
+            host = [word() for _ in range(50)] + copy + [word() for _ in range(40)]
+            found += i in [x["item_id"] for x in searcher.search([" ".join(host).encode()])[0]]
+        assert found >= 0.96 * len(items)
+
+
 def test_secret_spans_and_masks(spark, documents):
     key, password, commit = "AKIA" + "QX3V" * 4, "9f2c41d07ab35e86c1", "3f786850e387550fdab836ed7e6dc881de23001b"
     text = f"one {key} two password={password} three commit {commit} four https://www.example.org/a/b/c/d/e/f/page1.html"
