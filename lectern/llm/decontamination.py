@@ -30,7 +30,7 @@ from lectern.llm.common import map_texts, small_batches, table
 
 #: Edits per word of the item that still count as a copy.
 EDIT_SHARE = 0.2
-#: Items with fewer words are too common to be evidence and are left out.
+#: Items with fewer words are found where they stand word by word, but are too common to be evidence for dropping a document.
 MIN_ITEM_WORDS = 5
 #: Share of copies at the distance limit that the tables have to find.
 RECALL = 0.99
@@ -140,8 +140,8 @@ def _tables_needed(agree: np.ndarray, recall: float) -> int | None:
 
 
 def build_index(rows: list[tuple[int, bytes]], share: float = EDIT_SHARE, recall: float = RECALL) -> BenchmarkIndex:
-    """Index of (item_id, text); empty and very short items are left out."""
-    parsed = [(i, w) for i, w in ((i, words_of(t)) for i, t in rows) if len(w) >= MIN_ITEM_WORDS]
+    """Index of (item_id, text); items without a word are left out."""
+    parsed = [(i, w) for i, w in ((i, words_of(t)) for i, t in rows) if w]
     counts: dict[bytes, int] = {}
     for _, w in parsed:
         for x in set(w):
@@ -297,7 +297,8 @@ class Searcher:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, recall: float = RECALL) -> DataFrame:
     """docs with ``leaks``: the benchmark items found in each text, nearest match each.
 
-    Distances are word edits; offsets count words. Null and empty texts and
+    Distances are word edits; offsets count words. Items of fewer than
+    MIN_ITEM_WORDS words allow no edit; ``item_words`` tells them apart. Null and empty texts and
     items have no match. Items that share an id count as one. Benchmark items
     with a null id are left out. Items are broadcast in blocks of BLOCK_WORDS words, so a benchmark
     of any size takes more passes, not more memory. A column of docs named leaks

@@ -154,6 +154,12 @@ def test_decontamination_recall_of_long_items(length):
         assert found >= 0.96 * len(items)
 
 
+def test_short_benchmark_items():
+    searcher = decontamination.Searcher(decontamination.build_index([(1, b"alpha"), (2, b"beta Gamma"), (3, b"one two three four"), (4, b" ... ")]))
+    rows = searcher.search([b"zero one two three four beta, gamma", b"one two three five gamma beta", b"ALPHA", b""])
+    assert [[(x["item_id"], x["distance"], x["start_word"], x["end_word"]) for x in r] for r in rows] == [[(2, 0, 5, 7), (3, 0, 1, 5)], [], [(1, 0, 0, 1)], []]
+
+
 def test_secret_spans_and_masks(spark, documents):
     key, password, commit = "AKIA" + "QX3V" * 4, "9f2c41d07ab35e86c1", "3f786850e387550fdab836ed7e6dc881de23001b"
     text = f"one {key} two password={password} three commit {commit} four https://www.example.org/a/b/c/d/e/f/page1.html"
