@@ -213,6 +213,36 @@ def test_language_model_learns_order():
     assert model.log_probabilities(rows[0])[1:30].mean() > math.log(0.5)
 
 
+def test_gradient_of_pair_counts_by_brute_force(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [np.append(r.integers(1, 5, n), 0) for n in (0, 1, 2, 9)]
+    start = tuple(r.normal(size=s).astype(np.float32) for s in ((5, 3), (5, 3), (2, 3, 3), (5,)))
+    pairs = np.zeros((2, 5, 5), np.int64)
+    for t in texts:
+        for d, before in enumerate(lm_scoring.before(t)):
+            np.add.at(pairs[d], (before, t), 1)
+    likelihood = lambda x: sum(lm_scoring.normalised(*x).log_probabilities(t).sum(dtype=float) for t in texts)
+    monkeypatch.setattr(lm_scoring, "STEPS", 1)
+    monkeypatch.setattr(lm_scoring, "PENALTY", 0)
+    moved = lm_scoring.fitted(start, pairs)  # Adam's first step has the gradient's signs
+    for k, x in enumerate(start):
+        for at in np.ndindex(x.shape):
+            slope = []
+            for way in (1e-2, -1e-2):
+                other = [v.copy() for v in start]
+                other[k][at] += way
+                slope.append(likelihood(other))
+            if abs(slope[0] - slope[1]) > 1e-3:
+                assert np.sign(moved[k][at] - x[at]) == np.sign(slope[0] - slope[1])
+
+
+def test_language_model_learns_from_all_texts(documents):
+    cycle = "a b c d e f g h "
+    docs = documents([(1, cycle * 15_000, "s"), (2, cycle * 30, "s")])  # the first is longer than any text of the sample
+    found = {r["doc_id"]: r for r in lm_scoring.score(docs, docs.where("doc_id = 1")).collect()}
+    assert found[2]["score"] / found[2]["n_tokens"] > math.log10(0.5)
+
+
 def test_url_rules_by_brute_force(spark):
     r = random.Random(6)
     rules = [(h, p, r.choice(("allow", "block"))) for h in ("net", "a.net", "b.a.net", "org") for p in ("/", "/x", "/x/y/", "") if r.random() < 0.7]
