@@ -129,22 +129,25 @@ def train(texts: list[bytes], langs: list[str]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> LanguageModel:
-    """Learn from text and lang of docs: about ``per_language`` rows of each language.
+    """Learn from text and lang of docs: about ``per_language`` texts of each language.
 
-    Rows are drawn by a hash of the text with a threshold for each language, so
-    the sample is the same at every run and bounded at every size.
+    Texts are drawn by their hash with a threshold for each language, so the
+    sample is the same at every run and bounded at every size. Copies count once,
+    and the text with the least hash is always drawn: no language goes without.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(in_all // 4).collect()
+    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
+    distinct = known.groupBy("lang", place.alias("place")).agg(F.lit(1))
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).orderBy(F.col("n").desc(), "lang").limit(in_all // 4).collect()
     if not sizes:
         return LanguageModel()
     each = min(per_language, max(4, in_all // len(sizes)))
-    shares = [(r["lang"], float(min(1.0, each / r["n"]))) for r in sizes]
-    chosen = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    rows = known.join(F.broadcast(chosen), "lang").where(draw).select("text", "lang")
+    shares = [(r["lang"], float(min(1.0, each / r["n"])), r["least"]) for r in sizes]
+    chosen = docs.sparkSession.createDataFrame(shares, "lang string, share double, least bigint")
+    draw = (place < F.col("share") * (1 << 30)) | (place == F.col("least"))
+    rows = known.join(F.broadcast(chosen), "lang").where(draw).select("text", "lang", (place != F.col("least")).alias("more"))
     # copies share a hash, so a group of them could exceed the bound: keep one each
-    rows = rows.groupBy("text", "lang").agg(F.lit(1)).orderBy(F.xxhash64("text", F.lit(12)), "text", "lang").limit(2 * in_all).select("text", "lang").toPandas()
+    rows = rows.groupBy("text", "lang", "more").agg(F.lit(1)).orderBy("more", F.xxhash64("text", F.lit(12)), "text", "lang").limit(2 * in_all).select("text", "lang").toPandas()
     return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["lang"].tolist())
 
 

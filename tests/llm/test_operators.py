@@ -355,6 +355,14 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % remainder[0] == remainder[1] for r in rows)
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    rows = [(f"teksti numero {k % 25} on juuri", "fi") for k in range(5000)] + [(f"text number {k} is here", "en") for k in range(60)]
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: Counter(langs))
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert language_id.fit(docs) == {"fi": 25, "en": 60}
+    assert all(language_id.fit(docs.where(F.abs(F.hash("text")) % 7 == k), per_language=1).keys() == {"fi", "en"} for k in range(3))
+
+
 def test_languages_on_held_out_rows(spark):
     rows = catalog.queries()["op8_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
