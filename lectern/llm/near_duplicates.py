@@ -40,7 +40,7 @@ PERCENT = 75
 SKETCH, INDEX = 64, 16
 #: Values that two sets at the threshold share of their INDEX smallest, at least.
 SHARED = 5
-#: Pairs whose estimate is below this are not confirmed: over 5 deviations under the threshold.
+#: Pairs whose estimate is below this are not confirmed: 4.6 deviations under the threshold.
 ESTIMATE = 0.5
 #: Rounds with one centre a list, before remaining members are compared.
 CENTRE_ROUNDS = 2
