@@ -212,12 +212,13 @@ def coded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
 
 def op1_sentencepiece(spark, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
-    """Every document's piece count, a hash of its ids, and whether decoding gives the text."""
+    """Every document's pieces, their count, a hash of them, and whether decoding gives the text."""
     rows = coded(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_file)
     return rows.select(
         "doc_id",
         F.size("pieces").cast("bigint").alias("n_pieces"),
         F.xxhash64("pieces").alias("pieces_hash"),
         F.slice("pieces", 1, 8).alias("first_pieces"),
+        "pieces",
         (F.col("decoded") == F.col("text")).alias("round_trip"),
     )

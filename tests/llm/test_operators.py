@@ -79,6 +79,13 @@ def test_pieces_round_trip(text):
     assert sentencepiece_codec.join_pieces(pa.array([e.encode(raw)], pa.list_(pa.int32())), table).to_pylist() == [raw]
 
 
+def test_query_returns_all_pieces(spark, vocabulary):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    encoder = sentencepiece_codec.Encoder(vocabulary)
+    for r in catalog.queries()["op1_sentencepiece"](spark, SF).collect():
+        assert r["pieces"] == encoder.encode(texts[r["doc_id"]].encode()) and r["n_pieces"] == len(r["pieces"]) and r["round_trip"]
+
+
 def test_noisy_or_locates_the_sentence():
     r = random.Random(1)
     word = lambda: "".join(r.choice("aeioubcdf") for _ in range(4))
