@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +14,24 @@ from pyspark.sql import types as T
 SAMPLE_CHARS = 200_000
 #: Bytes that part words: what ``bytes.split()`` splits at, space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with more rows may be broadcast instead of shuffled, so many keys at most.
+HOT_ROWS, MOST_HOT = 2000, 20_000
+#: What an Arrow batch may hold.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, since single texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, where the session leaves that open, since single texts may be very long.
+
+    The bounds are the same for all operators, so that it does not matter which ran last.
+    """
+    for name, default, bound in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
 
 
 def byte_lists(column: pa.Array) -> list[bytes]:
@@ -28,13 +40,22 @@ def byte_lists(column: pa.Array) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; one of our own only where it names none."""
+    """The folder for checkpoints that the cluster names; one of our own only in local mode, where it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/lectern-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoints-"))
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system with all it holds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the cluster's shared checkpoint folder."""
     shared_folder(df.sparkSession)
@@ -52,6 +73,22 @@ def settled(df: DataFrame, rows_each: int = 50_000) -> tuple[DataFrame, int]:
     return kept.coalesce(max(1, -(-n // rows_each))), n
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, in which ``members`` bounds how many of left's ``total`` rows have a key; one row a key.
+
+    Keys with very many rows are broadcast, so that these rows stay where they
+    are: by their number of members there are MOST_HOT such keys at most, however
+    large the tables.
+    """
+    if total <= HOT_ROWS:
+        return left.join(right, keys, how)
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = right.where(F.col("members") > limit)
+    spread = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("members") <= limit), keys, how)
+    return spread.unionByName(rest)
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settled
+from lectern.llm.common import settled, spread_join
 
 #: Edges a partition, where fewer partitions are enough.
 EDGES_EACH = 50_000
@@ -18,9 +18,13 @@ def _distinct(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes that are not their component's smallest.
 
-    ``links`` has columns a and b, in any order, with repeats allowed. Only
-    minima are gathered for a node, so one with very many links is no
-    bottleneck; each round is written to the shared checkpoint folder.
+    ``links`` has columns a and b, in any order, with repeats allowed. Edges go
+    from the larger node u to the smaller v. Large-star moves the edges of a node
+    to its least neighbour: only smaller neighbours matter for that, so the
+    minimum is over a node's edges to them. Minima are gathered with partial
+    aggregation, and the edges of a node that has very many are not brought
+    together to learn its minimum. Each round is written to the shared checkpoint
+    folder.
     """
     edges, n = settled(_distinct(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), EDGES_EACH)
     mark = None
@@ -29,10 +33,12 @@ def components(links: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark, few = seen, max(1, -(-2 * n // EDGES_EACH))
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _distinct(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few)).coalesce(few)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        by_larger = edges.groupBy("u").agg(F.min("v").alias("m"))
+        by_smaller = edges.groupBy("v").agg(F.count("*").alias("members"))
+        least = by_smaller.join(by_larger.withColumnRenamed("u", "v"), "v", "left")
+        large = spread_join(edges, least, ["v"], n)
+        large, n = settled(_distinct(large.select("u", F.coalesce("m", "v").alias("v")).coalesce(few)), EDGES_EACH)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members"))
+        small = spread_join(large, least, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges, n = settled(_distinct(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few)), EDGES_EACH)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

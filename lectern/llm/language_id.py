@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SAMPLE_CHARS, map_texts, remainder, small_batches, table
+from lectern.llm.common import SAMPLE_CHARS, bounded_batches, map_texts, remainder, table
 
 # Families by ISO 639-1 code. Other codes form the family "other".
 _FAMILIES = {
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null texts and texts without a letter give ``und`` and 0, as does a model
     that has learned nothing. Columns of docs with these names are replaced.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

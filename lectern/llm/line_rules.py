@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_lists, small_batches, table
+from lectern.llm.common import bounded_batches, byte_lists, table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -138,7 +138,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHAR
     each keep their row. A document is kept if it passes the base rule and, with
     its frequent lines removed, keeps MIN_WORDS words and ``min_left`` of them.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     counts = _documents(docs).mapInArrow(_count_batches, f"doc_id bigint, host string, text_hash bigint, {_COUNTS}, lines array<bigint>, line_words array<bigint>")
     frequent = frequent_lines(docs, max_docs, max_share)
     removed = (

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import labelled_sample, map_texts, remainder, small_batches, table
+from lectern.llm.common import bounded_batches, labelled_sample, map_texts, remainder, table
 
 #: Labelled documents to learn from, at most; those with more lines are left out.
 SAMPLE_DOCS, SAMPLE_LINES = 5000, 400
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
     Null, empty and blank texts count as one empty line. Labels of one class
     only give that class's score to all. Columns with these names are replaced.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_texts, small_batches, table
+from lectern.llm.common import bounded_batches, map_texts, table
 
 #: Where the default model lies; a parameter of everything below.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
     Every input row has one output row; a column named pieces is replaced.
     """
-    small_batches(docs.sparkSession, 128)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():

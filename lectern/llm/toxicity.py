@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import labelled_sample, map_texts, remainder, small_batches, table
+from lectern.llm.common import bounded_batches, labelled_sample, map_texts, remainder, table
 
 #: Labelled documents to learn from, at most.
 SAMPLE_DOCS = 6000
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     a word, have no sentence and score 0. Spans are offsets in UTF-8 bytes.
     Columns of docs with these names are replaced.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY weights
 
     def start():
