@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Longer texts are not learned from (they are scored like all others).
+#: Of longer texts a part of this length is learned from (they are scored like all others).
 SAMPLE_CHARS = 200_000
 #: Bytes that part words: what ``bytes.split()`` splits at, space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,27 +89,45 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     return spread.unionByName(rest)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> DataFrame:
-    """(text, label) of at most ``bound`` labelled documents, the same ones at every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> tuple[DataFrame, float]:
+    """((doc_id, text, label) of about ``bound`` labelled documents, the share of label 1 among all of them).
 
-    The ids come first, ordered by hash, so that only ``bound`` ids are
-    broadcast and only their texts leave the executors.
+    The same ones at every run. Each class gets half of the bound, and what the
+    other leaves, so that few documents of one class are not drawn thinner still.
+    The ids come first, ordered by hash, so that only ``bound`` ids are broadcast
+    and only their texts leave the executors. Rows that repeat an id count once
+    for each of their texts; of several labels of an id the largest counts. Of a
+    text over SAMPLE_CHARS characters that many are learned from, from a place
+    that a hash draws.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).where(learn)
-    # a threshold on the hash first: only about twice the bound is sorted
-    share = min(1.0, 2 * bound / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
-    ids = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return (
-        docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-        # rows that repeat an id count once
-        .groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("_label").cast("int").alias("label"))
-    )
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).where(learn)
+    there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ones = min(there.get(1, 0), max(bound // 2, bound - there.get(0, 0)))
+    ids = None
+    for value, wanted in ((1, ones), (0, min(there.get(0, 0), bound - ones))):
+        # a threshold on the hash first: only about twice the bound is sorted
+        share = min(1.0, 2 * wanted / max(1, there.get(value, 0)))
+        drawn = known.where((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)))
+        drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted)
+        ids = drawn if ids is None else ids.unionByName(drawn)
+    text, n = F.coalesce(F.col("text").cast("string"), F.lit("")), F.char_length("text")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(n - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    part = F.when(n > SAMPLE_CHARS, F.substring(text, place, F.lit(SAMPLE_CHARS))).otherwise(text)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), part.alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
+    return rows.select("doc_id", "text", "label"), there.get(1, 0) / max(1, sum(there.values()))
 
 
 def map_texts(docs: DataFrame, added: str, start, text: str = "text") -> DataFrame:

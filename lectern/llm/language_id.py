@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import SAMPLE_CHARS, bounded_batches, map_texts, remainder, table
@@ -33,8 +33,8 @@ _FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in _FAMILIES.items() for code in codes.split()}
 
-#: Documents to learn from: for each language and in all, about.
-PER_LANGUAGE, IN_ALL = 400, 3000
+#: Distinct texts to learn from: for each language and in all; a language has LEAST at least, however many there are.
+PER_LANGUAGE, IN_ALL, LEAST = 400, 3000, 4
 DIMENSIONS = 1 << 13
 PENALTY, STEPS = 1e-4, 250
 UNDETERMINED = "und"
@@ -88,27 +88,44 @@ class LanguageModel:
     families: list[tuple[str, np.ndarray]] = field(default_factory=list)
     pairs: dict[str, list[tuple[str, str, np.ndarray]]] = field(default_factory=dict)
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        """The language, and its family's share times its share of the pair votes."""
-        margin = lambda w: float(x @ w[:-1] + w[-1])
-        sure = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -20, 20)))
+    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
+        """Of each row the language, and its family's share times its share of the pair votes.
+
+        Of families of equal odds the first by name counts; of languages of equal
+        votes the one with more odds, then the first by name.
+        """
         if not self.languages:
-            return UNDETERMINED, 0.0
-        family, share = next(iter(self.languages)), 1.0
+            return [(UNDETERMINED, 0.0)] * len(x)
+        names = list(self.languages)
+        family, share = np.zeros(len(x), int), np.ones(len(x))
         if len(self.families) > 1:
-            odds = [sure(margin(w)) for _, w in self.families]
-            k = int(np.argmax(odds))
-            family, share = self.families[k][0], odds[k] / max(sum(odds), 1e-12)
-        own = self.languages[family]
-        votes, votes_for = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
-        for a, b, w in self.pairs.get(family, ()):
-            p = sure(margin(w))
-            votes[a if p >= 0.5 else b] += 1
-            votes_for[a] += p
-            votes_for[b] += 1 - p
-        best = min(own, key=lambda c: (-votes[c], -votes_for[c], c))
-        within = votes_for[best] / (len(own) - 1) if len(own) > 1 else 1.0
-        return best, float(min(1.0, share * within))
+            odds = _odds(x, [w for _, w in self.families])
+            family = odds.argmax(axis=1)
+            share = odds.max(axis=1) / np.maximum(odds.sum(axis=1), 1e-12)
+        out: list = [None] * len(x)
+        for k in np.unique(family):
+            rows, own = np.flatnonzero(family == k), self.languages[names[k]]
+            votes, votes_for = np.zeros((2, len(rows), len(own)))
+            pairs = self.pairs.get(names[k], [])
+            odds = _odds(x[rows], [w for _, _, w in pairs])
+            for (a, b, _), p in zip(pairs, odds.T, strict=True):
+                i, j = own.index(a), own.index(b)
+                votes[np.arange(len(rows)), np.where(p >= 0.5, i, j)] += 1
+                votes_for[:, i] += p
+                votes_for[:, j] += 1 - p
+            best = np.lexsort((np.broadcast_to(np.arange(len(own)), votes.shape), -votes_for, -votes), axis=1)[:, 0]
+            within = votes_for[np.arange(len(rows)), best] / (len(own) - 1) if len(own) > 1 else np.ones(len(rows))
+            for r, c, p in zip(rows, best, np.minimum(1.0, share[rows] * within), strict=True):
+                out[r] = own[c], float(p)
+        return out
+
+
+def _odds(x: np.ndarray, machines: list[np.ndarray]) -> np.ndarray:
+    """How sure each machine is of each row: one matrix product."""
+    if not machines:
+        return np.zeros((len(x), 0))
+    w = np.stack(machines)
+    return 1 / (1 + np.exp(-4 * np.clip((x @ w[:, :-1].T + w[:, -1]).astype(float), -20, 20)))
 
 
 def train(texts: list[bytes], langs: list[str]) -> LanguageModel:
@@ -129,25 +146,32 @@ def train(texts: list[bytes], langs: list[str]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> LanguageModel:
-    """Learn from text and lang of docs: about ``per_language`` texts of each language.
+    """Learn from text and lang of docs: at most ``per_language`` distinct texts of each language.
 
-    Texts are drawn by their hash with a threshold for each language, so the
-    sample is the same at every run and bounded at every size. Copies count once,
-    and the text with the least hash is always drawn: no language goes without.
+    Of each language the texts with the least hashes are drawn, so the sample is
+    the same at every run, copies count once and no language goes without. A
+    threshold on the hash, wide enough for ten times the texts wanted, comes first,
+    so that no language's texts are sorted as a whole. Of a text over SAMPLE_CHARS
+    characters that many are learned from, from a place that a hash draws.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
     distinct = known.groupBy("lang", place.alias("place")).agg(F.lit(1))
-    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).orderBy(F.col("n").desc(), "lang").limit(in_all // 4).collect()
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()  # a row a language
     if not sizes:
         return LanguageModel()
-    each = min(per_language, max(4, in_all // len(sizes)))
-    shares = [(r["lang"], float(min(1.0, each / r["n"])), r["least"]) for r in sizes]
+    each = min(per_language, max(LEAST, in_all // len(sizes)))
+    shares = [(r["lang"], float(min(1.0, 10 * (each + 3) / r["n"])), r["least"]) for r in sizes]
     chosen = docs.sparkSession.createDataFrame(shares, "lang string, share double, least bigint")
-    draw = (place < F.col("share") * (1 << 30)) | (place == F.col("least"))
-    rows = known.join(F.broadcast(chosen), "lang").where(draw).select("text", "lang", (place != F.col("least")).alias("more"))
-    # copies share a hash, so a group of them could exceed the bound: keep one each
-    rows = rows.groupBy("text", "lang", "more").agg(F.lit(1)).orderBy("more", F.xxhash64("text", F.lit(12)), "text", "lang").limit(2 * in_all).select("text", "lang").toPandas()
+    draw = (F.col("place") < F.col("share") * (1 << 30)) | (F.col("place") == F.col("least"))
+    kept = known.select("lang", "text", place.alias("place")).join(F.broadcast(chosen), "lang").where(draw)
+    first = Window.partitionBy("lang").orderBy("place")
+    places = kept.select("lang", "place").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).drop("_n")
+    n = F.char_length("text")
+    at = F.pmod(F.xxhash64("text", F.lit(13)), F.greatest(n - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    part = F.when(n > SAMPLE_CHARS, F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    # copies share a place: one is kept
+    rows = kept.join(F.broadcast(places), ["lang", "place"]).groupBy("lang", "place").agg(F.min(part).alias("text")).orderBy("lang", "place").toPandas()
     return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["lang"].tolist())
 
 
@@ -155,7 +179,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score, one row for each row.
 
     Null texts and texts without a letter give ``und`` and 0, as does a model
-    that has learned nothing. Columns of docs with these names are replaced.
+    that has learned nothing. Long texts are read as a whole. Repeated rows keep a
+    row each; an empty table has none. Ties are broken as ``predict`` says. Columns
+    of docs with these names are replaced.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,7 +190,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         own = shared.value
 
         def work(texts):
-            rows = [(UNDETERMINED, 0.0) if (x := features(t)) is None else own.predict(x) for t in texts]
+            rows, found = [(UNDETERMINED, 0.0)] * len(texts), [features(t) for t in texts]
+            lettered = [i for i, x in enumerate(found) if x is not None]
+            if lettered:
+                for i, row in zip(lettered, own.predict(np.stack([found[i] for i in lettered])), strict=True):
+                    rows[i] = row
             return [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
 
         return work

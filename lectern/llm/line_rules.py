@@ -4,7 +4,7 @@ Normalised lines are hashed; a line's distinct documents are counted for each
 host (the ``source`` column). Lines above the limit are removed, and a document
 is rejected when too little of it is left. Frequencies come from one
 aggregation keyed by host, line and document, so that a line or host that holds
-a third of all rows is spread before it is summed.
+a third of all rows is spread before it is summed. Texts are read once.
 """
 
 from __future__ import annotations
@@ -15,22 +15,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, byte_lists, table
+from lectern.llm.common import bounded_batches, byte_lists, checkpointed, settled, spread_join, table
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A line is removed when more than this many documents of its host have it ...
 MAX_DOCS = 10
-#: ... and more than this share of the host's documents.
-MAX_SHARE = 0.01
+#: ... and more than this share of the host's documents, or more than MANY_DOCS of them however large the host is.
+MAX_SHARE, MANY_DOCS = 0.01, 500
 #: Of a document's words, what must be left after the removal.
 MIN_LEFT = 0.5
+#: Up to this many frequent lines are broadcast; more are joined, the most frequent of them still broadcast.
+BROADCAST_LINES = 200_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
-_LINES = "doc_id bigint, host string, text_hash bigint, line bigint"
 _COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
@@ -78,26 +79,6 @@ def text_counts(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(solid.decode("utf-8", "replace")), len(raw) - len(raw.translate(None, _SYMBOLS)), again, repeated_words(words)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-        F.xxhash64("text").alias("text_hash"),
-        F.col("text").cast("string").alias("text"),
-    )
-
-
-def _line_batches(batches):
-    for batch in batches:
-        docs, lines = [], []
-        for i, raw in enumerate(byte_lists(batch.column("text"))):
-            found = {line_key(x) for x in raw.split(b"\n")} - {None}
-            lines += found
-            docs += [i] * len(found)
-        at = pa.array(docs, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "host", "text_hash")), pa.array(lines, pa.int64())], names=["doc_id", "host", "text_hash", "line"])
-
-
 def _count_batches(batches):
     for batch in batches:
         counts, keys, words = [], [], []
@@ -110,52 +91,67 @@ def _count_batches(batches):
             keys.append(list(own))
             words.append(list(own.values()))
         columns = list(zip(*counts, strict=True)) or [()] * 5
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, words)]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "host", "text_hash")), *(pa.array(c, pa.int64()) for c in columns), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))],
-            names=["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+            [*(batch.column(c) for c in ("doc_id", "host")), *(pa.array(c, pa.int64()) for c in columns), *lists],
+            names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
         )
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) of the lines above both limits. A null host counts as ''."""
-    rows = _documents(docs)
+def parsed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, host, counts, lines, line_words) of each row, by one pass over the texts.
+
+    ``lines`` has a text's distinct lines and ``line_words`` their words, repeats
+    included. Written to the shared folder: what follows reads no text.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
+        F.col("text").cast("string").alias("text"),
+    )
+    counted = rows.mapInArrow(_count_batches, f"doc_id bigint, host string, {_COUNTS}, lines array<bigint>, line_words array<bigint>")
+    return checkpointed(counted.withColumn("row", F.monotonically_increasing_id()))
+
+
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """(host, line, members) of the lines above the limits; members counts their documents."""
     sizes = rows.groupBy("host", "doc_id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = rows.mapInArrow(_line_batches, _LINES)
-    counted = lines.groupBy("host", "line", "doc_id").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    lines = rows.select("host", "doc_id", F.explode("lines").alias("line"))
+    counted = lines.groupBy("host", "line", "doc_id").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("members"))
     return (
-        counted.where(F.col("n_docs") > max_docs)
+        counted.where(F.col("members") > max_docs)
         .join(sizes, "host")
-        .where(F.col("n_docs") > max_share * F.col("host_docs"))
-        .select("host", "line", "n_docs")
+        .where((F.col("members") > max_share * F.col("host_docs")) | (F.col("members") > many_docs))
+        .select("host", "line", "members")
     )
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per input row: the counts, removed_words, base_failed and kept.
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, many_docs: int = MANY_DOCS) -> DataFrame:
+    """One row per input row: doc_id, host, the counts, removed_words, base_failed and kept.
 
     Null texts have no words and fail the base rule; null ids and hosts are
-    values like others. Repeated rows count once towards a line's frequency and
-    each keep their row. A document is kept if it passes the base rule and, with
-    its frequent lines removed, keeps MIN_WORDS words and ``min_left`` of them.
+    values like others, a null host counts as ''. Long texts are counted as a
+    whole. Rows that repeat an id count once towards a line's frequency, and each
+    keep their row; an empty table has none. A line that has exactly the limit's
+    number of documents stays. A document is kept if it passes the base rule and,
+    with its frequent lines removed, keeps MIN_WORDS words and ``min_left`` of them.
     """
-    bounded_batches(docs.sparkSession)
-    counts = _documents(docs).mapInArrow(_count_batches, f"doc_id bigint, host string, text_hash bigint, {_COUNTS}, lines array<bigint>, line_words array<bigint>")
-    frequent = frequent_lines(docs, max_docs, max_share)
-    removed = (
-        counts.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-        .select("doc_id", "host", "text_hash", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-        .join(frequent, ["host", "line"])
-        # rows that repeat a document as a whole repeat all of its lines as often
-        .groupBy("doc_id", "host", "text_hash")
-        .agg((F.sum("words") * F.size(F.collect_set("line")) / F.count("*")).cast("bigint").alias("removed_words"))
-    )
-    keys = ["doc_id", "host", "text_hash"]
-    left, right = counts.drop("lines", "line_words").alias("l"), removed.alias("r")
-    out = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
+    rows = parsed(docs)
+    frequent, n = settled(frequent_lines(rows, max_docs, max_share, many_docs))
+    lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    lines = lines.select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    if n <= BROADCAST_LINES:
+        hits = lines.join(F.broadcast(frequent), ["host", "line"])
+    else:
+        total = rows.agg(F.sum(F.size("lines"))).first()[0]
+        hits = spread_join(lines, frequent, ["host", "line"], total)
+    removed = hits.groupBy("row").agg(F.sum("words").alias("removed_words"))
+    out = rows.drop("lines", "line_words").join(removed, "row", "left").drop("row")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
     return (
-        out.select(*(f"l.{c}" for c in left.columns if c != "text_hash"), F.coalesce("r.removed_words", F.lit(0)).cast("bigint").alias("removed_words"))
+        out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (rest >= MIN_WORDS) & (rest >= min_left * F.col("n_words")))
     )
@@ -195,7 +191,7 @@ WITH d AS (
   SELECT coalesce(source, '') AS host, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY 1
 ), frequent AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n_docs FROM lines WHERE n > 0 GROUP BY host, norm) JOIN hosts USING (host)
-  WHERE n_docs > 10 AND n_docs > 0.01 * host_docs
+  WHERE n_docs > 10 AND (n_docs > 0.01 * host_docs OR n_docs > 500)
 ), removed AS (
   SELECT doc_id, sum(n) AS removed_words FROM lines JOIN frequent USING (host, norm) WHERE n > 0 GROUP BY doc_id
 ), counts AS (

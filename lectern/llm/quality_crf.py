@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded_batches, labelled_sample, map_texts, remainder, table
 
-#: Labelled documents to learn from, at most; those with more lines are left out.
+#: Labelled documents to learn from, at most; those with more lines are learned from in pieces of so many.
 SAMPLE_DOCS, SAMPLE_LINES = 5000, 400
 #: Frequent words of good documents that count as common.
 COMMON = 300
@@ -199,11 +199,11 @@ def _shares(p: np.ndarray, weights: np.ndarray, doc: np.ndarray, n: int) -> np.n
     return np.log(share / (1 - share))
 
 
-def train(texts: list[bytes], labels: list[int]) -> Field:
+def train(texts: list[bytes], labels: list[int], share: float | None = None) -> Field:
+    """The field and its curve; ``share`` is that of label 1 where the texts were drawn from, if by class."""
     empty = Field(frozenset(), *(np.zeros(WIDTH) for _ in range(3)), 0.0, np.zeros((2, 2)))
-    bags = [lines_of(t) for t in texts]
-    keep = [i for i, b in enumerate(bags) if len(b) <= SAMPLE_LINES]
-    bags, y = [bags[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
+    pieces = [(b[k : k + SAMPLE_LINES], v) for b, v in zip(map(lines_of, texts), labels, strict=True) for k in range(0, len(b), SAMPLE_LINES)]
+    bags, y = [b for b, _ in pieces], np.array([v for _, v in pieces], np.int64)
     if not len(y) or y.min() == y.max():
         empty.constant = float(y.mean()) if len(y) else 0.5
         return empty
@@ -226,9 +226,11 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
     p, _ = marginals(_scores(active, doc, model), lengths, model.turns)
     x = _shares(p, weights, doc, len(y))
     slope, shift = 1.0, 0.0
+    ones = y.mean() if share is None else min(max(share, 0.001), 0.999)
+    by_class = np.where(y == 1, ones / y.mean(), (1 - ones) / (1 - y.mean()))
     for _ in range(50):  # Newton steps for the logistic curve
         q = 1 / (1 + np.exp(-(slope * x + shift)))
-        r, v = y - q, np.maximum(q * (1 - q), 1e-6)
+        r, v = by_class * (y - q), by_class * np.maximum(q * (1 - q), 1e-6)
         h = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-2]])
         move = np.linalg.solve(h, [(r * x).sum() - 1e-2 * slope, r.sum() - 1e-2 * shift])
         slope, shift = slope + float(np.clip(move[0], -1, 1)), shift + float(np.clip(move[1], -1, 1))
@@ -252,15 +254,20 @@ def judge(texts: list[bytes], model: Field) -> tuple[list[float], list[int], lis
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = SAMPLE_DOCS) -> Field:
-    rows = labelled_sample(docs, labels, "quality", learn, bound).orderBy("doc_id", "text").toPandas()
-    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist())
+    """Learn from about ``bound`` documents that have a label where ``learn`` holds."""
+    drawn, share = labelled_sample(docs, labels, "quality", learn, bound)
+    rows = drawn.orderBy("doc_id", "text").toPandas()
+    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist(), share)
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:
     """docs with score, n_lines and n_bad_lines, one row for each row.
 
-    Null, empty and blank texts count as one empty line. Labels of one class
-    only give that class's score to all. Columns with these names are replaced.
+    Null, empty and blank texts count as one empty line; one without line ends, of
+    whatever length, as one line. Long texts are scored as a whole. Repeated rows
+    keep a row each; an empty table has none. Labels of one class only give that
+    class's score to all, no labels give 0.5. A line that is as likely good as bad
+    counts as good. Columns with these names are replaced.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -15,9 +15,11 @@ import random
 import string
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import table
+
 # Public key formats and the names that secrets are assigned to.
 _FORMATS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -47,8 +49,13 @@ MASK = "[SECRET]"
 #: A candidate at or above this is a secret.
 THRESHOLD = 0.5
 
+FINDINGS = "found string, before string, after string, path string, label int, family string"
 FEATURES = ("length", "transitions", "digits", "distinct", "coverage", "hexadecimal", "known", "assigned", "slashes", "path_test", "near_secret", "near_harmless")
 TREES, DEPTH, LEAST_LEAF = 15, 6, 5
+#: Labelled findings to learn from, at most.
+SAMPLE_FINDINGS = 20_000
+#: Candidates whose places are added up at a time.
+CHUNK = 256
 
 
 def _q(text: str) -> str:
@@ -86,8 +93,11 @@ def _features(found: str, before: str, after: str, path: str) -> str:
     return "named_struct(" + ", ".join(f"'{n}', double({parts[n]})" for n in FEATURES) + ")"
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
-    """(found, before, after, path, label): drawn from public formats and usual false alarms."""
+def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, int, str]]:
+    """(found, before, after, path, label, family): drawn from public formats and usual false alarms.
+
+    A family is a template; tests hold whole families out.
+    """
     r = random.Random(seed)
     pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     hexa, alnum, lower = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_lowercase
@@ -96,37 +106,38 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     prose = lambda: " ".join(syllables(r.randint(1, 4)) for _ in range(r.randint(3, 9))) + " "
     name = lambda: r.choice(("password", "passwd", "secret", "token", "api_key", "access_key", "API_KEY", "Password"))
     head = lambda: name() + r.choice(("=", " = ", ": ", ' = "', "='", '": "'))
-    paths = ("src3", "src0", "app/config.py", "site/settings.env", "deploy.yml", "web-17")
+    paths = ("", "app/config.py", "site/settings.env", "deploy.yml", "notes", "server/auth.go")
     quiet = ("tests/fixtures/a.py", "docs/example.md", "sample/mock.json")
-    real = [
-        lambda: ("AKIA" + pick(string.ascii_uppercase + "234567", 16), prose()),
-        lambda: ("ghp_" + pick(alnum, 36), prose()),
-        lambda: ("sk-" + pick(alnum, 40), prose()),
-        lambda: ("xoxb-" + pick(alnum + "-", 30), prose()),
-        lambda: ("eyJ" + pick(alnum, 30) + "." + pick(alnum, 60) + "." + pick(alnum, 40), prose() + "bearer "),
-        lambda: (head() + pick(hexa, r.choice((16, 18, 20, 24, 32, 40, 64))), prose()),
-        lambda: (head() + pick(alnum, r.randint(10, 48)), prose()),
-        lambda: (head() + pick(alnum + "!@#$%*", r.randint(8, 20)), prose()),
-        lambda: (pick(alnum, r.randint(24, 60)), prose() + r.choice(("api key ", "credential ", "token is ", "private "))),
-        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + pick(alnum + "+/", 200) + "\n-----END RSA PRIVATE KEY-----", prose()),
-    ]
-    false = [
-        lambda: (pick(hexa, r.choice((32, 40, 64))), prose() + r.choice(("commit ", "md5 ", "checksum ", "sha1: ", "revision ", ""))),
-        lambda: (words(r.randint(4, 8), "-") + str(r.randint(1, 99)), prose()),
-        lambda: (words(r.randint(4, 8), "_") + str(r.randint(1, 9999)), prose()),
-        lambda: (syllables(r.randint(10, 16)) + str(r.randint(1, 99)), prose()),
-        lambda: (words(r.randint(3, 6), "/") + "/" + str(r.randint(1, 9999)), prose() + r.choice(("https:", "www.", ""))),
-        lambda: (head() + r.choice(("", "your_")) + words(r.randint(1, 3), r.choice(("", "_", "-"))), prose()),
-        lambda: (head() + r.choice(("xxxxxxxx", "********", "changeme", "password", "${SECRET}", "os.environ", "example", "placeholder")), prose()),
-        lambda: (head() + syllables(r.randint(3, 7)), prose()),
-        lambda: ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), prose() + r.choice(("uuid ", "build ", ""))),
-        lambda: (pick(string.digits, r.randint(12, 18)) + pick(lower, 1) * r.randint(8, 12), prose()),
-    ]
+    real = {
+        "cloud_key": lambda: ("AKIA" + pick(string.ascii_uppercase + "234567", 16), prose()),
+        "forge_token": lambda: ("ghp_" + pick(alnum, 36), prose()),
+        "service_key": lambda: ("sk-" + pick(alnum, 40), prose()),
+        "chat_token": lambda: ("xoxb-" + pick(alnum + "-", 30), prose()),
+        "web_token": lambda: ("eyJ" + pick(alnum, 30) + "." + pick(alnum, 60) + "." + pick(alnum, 40), prose() + "bearer "),
+        "assigned_hex": lambda: (head() + pick(hexa, 2 * r.randint(8, 40)), prose()),
+        "assigned_token": lambda: (head() + pick(alnum, r.randint(10, 48)), prose()),
+        "assigned_password": lambda: (head() + pick(alnum + "!@#$%*", r.randint(8, 20)), prose()),
+        "named_token": lambda: (pick(alnum, r.randint(24, 60)), prose() + r.choice(("api key ", "credential ", "token is ", "private "))),
+        "private_key": lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + pick(alnum + "+/", 200) + "\n-----END RSA PRIVATE KEY-----", prose()),
+    }
+    false = {
+        "checksum": lambda: (pick(hexa, r.choice((32, 40, 64))), prose() + r.choice(("commit ", "md5 ", "checksum ", "sha1: ", "revision ", ""))),
+        "slug": lambda: (words(r.randint(4, 8), "-") + str(r.randint(1, 99)), prose()),
+        "identifier": lambda: (words(r.randint(4, 8), "_") + str(r.randint(1, 9999)), prose()),
+        "long_word": lambda: (syllables(r.randint(10, 16)) + str(r.randint(1, 99)), prose()),
+        "address": lambda: (words(r.randint(3, 6), "/") + "/" + str(r.randint(1, 9999)), prose() + r.choice(("https:", "www.", ""))),
+        "assigned_words": lambda: (head() + r.choice(("", "your_")) + words(r.randint(1, 3), r.choice(("", "_", "-"))), prose()),
+        "placeholder": lambda: (head() + r.choice(("xxxxxxxx", "********", "changeme", "password", "${SECRET}", "os.environ", "example", "placeholder")), prose()),
+        "assigned_prose": lambda: (head() + syllables(r.randint(3, 7)), prose()),
+        "uuid": lambda: ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), prose() + r.choice(("uuid ", "build ", ""))),
+        "padded_number": lambda: (pick(string.digits, r.randint(12, 18)) + pick(lower, 1) * r.randint(8, 12), prose()),
+    }
     rows = []
     for k in range(n):
         label = k % 2
-        found, before = r.choice(real if label else false)()
-        rows.append((found, before, " " + prose(), r.choice(paths if label or r.random() < 0.7 else quiet), label))
+        family, make = r.choice(list((real if label else false).items()))
+        found, before = make()
+        rows.append((found, before, " " + prose(), r.choice(paths if label or r.random() < 0.7 else quiet), label, family))
     return rows
 
 
@@ -160,9 +171,17 @@ def _tree_sql(tree, row: str) -> str:
     return f"if({row}.{FEATURES[f]} <= {cut!r}D, {_tree_sql(low, row)}, {_tree_sql(high, row)})"
 
 
-def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 9) -> list:
-    """A forest from labelled findings (found, before, after, path, label), a bounded table."""
+def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 9, bound: int = SAMPLE_FINDINGS) -> list:
+    """A forest from at most ``bound`` labelled findings (found, before, after, path, label).
+
+    Null texts count as empty; findings without a label are left out. Without any
+    the forest is empty and every score 0.
+    """
+    findings = findings.where(F.col("label").isNotNull()).select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("found", "before", "after", "path")), "label")
+    findings = findings.orderBy(F.xxhash64("found", "before", "after", "path", "label")).limit(bound)
     rows = findings.selectExpr(f"{_features('found', 'before', 'after', 'path')} AS f", "label").collect()
+    if not rows:
+        return []
     x, y = np.array([list(r["f"]) for r in rows], float), np.array([r["label"] for r in rows], float)
     rng = np.random.default_rng(seed)
     picks = [rng.integers(0, len(y), len(y)) for _ in range(trees)]
@@ -170,46 +189,58 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
 
 
 def default_forest(spark) -> list:
-    rows = labelled_findings()
-    return train_forest(spark.createDataFrame(rows, "found string, before string, after string, path string, label int"))
+    """The forest of ``labelled_findings``, for want of a labelled table."""
+    return train_forest(spark.createDataFrame(labelled_findings(), FINDINGS))
 
 
-def _scored(docs: DataFrame, forest: list, text: str, path: str) -> DataFrame:
-    """docs with _gaps (one more than candidates) and _found: array of candidates with score."""
-    source = f"coalesce(`{path}`, '')" if path in docs.columns else "''"
+def _scored(docs: DataFrame, forest: list, text: str, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """(rows, names): docs under names of our own, with gaps (one more than candidates) and found: candidates with score."""
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    source = f"coalesce({names[path]}, '')" if path in names else "''"
     total = " + ".join(_tree_sql(t, "f") for t in forest) or "0D"
-    return (
-        docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-        .withColumn("_hits", F.expr(f"regexp_extract_all(_text, {_q(PATTERN)}, 0)"))
-        .withColumn("_gaps", F.expr(f"if(size(_hits) > 0, split(_text, {_q(PATTERN)}, -1), array(_text))"))
-        .withColumn("_seen", F.expr(
-            f"transform(_hits, (hit, i) -> named_struct('hit', hit, 'f', "
-            f"{_features('hit', f'right(_gaps[i], {_AROUND})', f'left(_gaps[i + 1], {_AROUND})', source)}))"
-        ))
-        .withColumn("_found", F.expr(f"transform(_seen, s -> named_struct('hit', s.hit, 'score', transform(array(s.f), f -> ({total}) / {max(1, len(forest))})[0]))"))
-        .drop("_seen", "_hits")
+    features = _features("hit", f"right(gaps[i], {_AROUND})", f"left(gaps[i + 1], {_AROUND})", source)
+    rows = (
+        docs.toDF(*names.values())
+        .withColumn("whole", F.coalesce(F.col(names[text]).cast("string"), F.lit("")))
+        .withColumn("hits", F.expr(f"regexp_extract_all(whole, {_q(PATTERN)}, 0)"))
+        .withColumn("gaps", F.expr(f"if(size(hits) > 0, split(whole, {_q(PATTERN)}, -1), array(whole))"))
+        .withColumn("seen", F.expr(f"transform(hits, (hit, i) -> named_struct('hit', hit, 'f', {features}))"))
+        .withColumn("found", F.expr(f"transform(seen, s -> named_struct('hit', s.hit, 'score', transform(array(s.f), f -> ({total}) / {max(1, len(forest))})[0]))"))
+        .drop("seen", "hits", "whole")
     )
+    return rows, names
 
 
-_WORK = ["_text", "_gaps", "_found"]
+def _starts() -> str:
+    """SQL array of where candidates start: all gaps and candidates before each, added up chunk by chunk."""
+    added = lambda array: f"aggregate({array}, 0L, (total, w) -> total + w)"
+    parts = f"transform(sequence(0, int(ceil(size(found) / {CHUNK})) - 1), c -> slice(widths, c * {CHUNK} + 1, {CHUNK}))"
+    before = added("slice(sums, 1, k)")
+    inner = f"transform(part, (w, i) -> before + {added('slice(part, 1, i)')} + w - lengths[k * {CHUNK} + i])"
+    one = f"transform(array({before}), before -> {inner})[0]"
+    body = f"flatten(transform(parts, (part, k) -> {one}))"
+    body = f"transform(array(transform(parts, part -> {added('part')})), sums -> {body})[0]"
+    body = f"transform(array({parts}), parts -> {body})[0]"
+    body = f"transform(array(transform(found, (x, i) -> bigint(char_length(gaps[i]) + char_length(x.hit)))), widths -> {body})[0]"
+    return f"transform(array(transform(found, x -> char_length(x.hit))), lengths -> {body})[0]"
 
 
 def findings(docs: DataFrame, forest: list, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, length, found, score, secret): one row for each candidate.
 
-    start counts characters from 0. Null and empty texts have no candidate.
-    Rows that repeat an id and text give their findings once each.
+    start counts characters from 0. Null and empty texts have no candidate; long
+    ones are scanned as a whole. Candidates do not overlap: of two that could, the
+    one that begins first counts, of two that begin together the one whose pattern
+    stands first. Repeated rows give their findings once each; an empty table has
+    none. A score of exactly THRESHOLD is a secret. Columns of docs may have any
+    names.
     """
-    rows = _scored(docs, forest, text, path).where(F.size("_found") > 0)
-    # where a candidate starts: all gaps and candidates before it
-    width = F.expr("transform(_found, (x, i) -> char_length(_gaps[i]) + char_length(x.hit))")
-    rows = rows.withColumn("_width", width).withColumn("_row", F.monotonically_increasing_id())
-    flat = rows.select(key, "_row", F.expr("posexplode(arrays_zip(_found, _width))").alias("_at", "x"))
-    flat = flat.select(key, "_row", "_at", F.col("x._found.hit").alias("found"), F.col("x._found.score").alias("score"), F.col("x._width").alias("_width"))
-    upto = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("_width").over(upto)
-    return flat.select(
-        key, (end - F.char_length("found")).cast("bigint").alias("start"), F.char_length("found").alias("length"), "found", "score", (F.col("score") >= THRESHOLD).alias("secret")
+    rows, names = _scored(docs, forest, text, path)
+    rows = rows.where(F.size("found") > 0).select(names[key], "found", F.expr(_starts()).alias("starts"))
+    rows = rows.select(F.col(names[key]).alias(key), F.explode(F.arrays_zip("found", "starts")).alias("x"))
+    found, score = F.col("x.found.hit"), F.col("x.found.score")
+    return rows.select(
+        key, F.col("x.starts").alias("start"), F.char_length(found).alias("length"), found.alias("found"), score.alias("score"), (score >= THRESHOLD).alias("secret")
     )
 
 
@@ -221,21 +252,23 @@ def _masked(found: str) -> str:
 def redact(docs: DataFrame, forest: list, text: str = "text", path: str = "source") -> DataFrame:
     """docs with secrets in the text masked, and ``n_secrets``; null texts stay null.
 
-    All else in a text stays as it is, rejected candidates included. A column
-    named n_secrets is replaced.
+    All else in a text stays as it is, rejected candidates included. Long texts,
+    ties and candidates that could overlap are treated as ``findings`` says.
+    Repeated rows keep a row each; an empty table has none. A column named
+    n_secrets is replaced; others may have any names.
     """
-    rows = _scored(docs.drop("n_secrets"), forest, text, path)
-    rows = rows.withColumn("n_secrets", F.expr(f"size(filter(_found, x -> x.score >= {THRESHOLD}D))"))
+    docs = docs.drop("n_secrets")
+    rows, names = _scored(docs, forest, text, path)
+    n = F.expr(f"size(filter(found, x -> x.score >= {THRESHOLD}D))")
     masked = F.expr(
-        f"array_join(transform(_gaps, (gap, i) -> concat(gap, if(i < size(_found), if(_found[i].score >= {THRESHOLD}D, {_masked('_found[i].hit')}, _found[i].hit), ''))), '')"
+        f"array_join(transform(gaps, (gap, i) -> concat(gap, if(i < size(found), if(found[i].score >= {THRESHOLD}D, {_masked('found[i].hit')}, found[i].hit), ''))), '')"
     )
-    return rows.withColumn(text, F.when(F.col("n_secrets") > 0, masked).otherwise(F.col(text))).drop(*_WORK)
+    own = {c: F.when(n > 0, masked).otherwise(F.col(new)) if c == text else F.col(new) for c, new in names.items()}
+    return rows.select(*(value.alias(c) for c, value in own.items()), n.alias("n_secrets"))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Every candidate of every document, with its place, score and verdict."""
-    from lectern.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = findings(docs, default_forest(spark))
     return rows.select("doc_id", "start", "length", F.sha2(F.col("found").cast("binary"), 256).alias("found_sha256"), F.round("score", 6).alias("score"), "secret")

@@ -4,7 +4,13 @@ An Aho-Corasick automaton over all pieces runs through the text once. At each
 position its output links give every piece that ends there, longest first, and
 each relaxes the best score at its end: a single-pass Viterbi for the
 segmentation with the largest sum of scores (ties: the longer last piece).
-Characters without a piece become byte pieces.
+Characters without a piece become byte pieces. In a long run without a space the
+pieces are settled as soon as all best paths share them, so memory does not grow
+with the run.
+
+Viterbi wants log-probabilities. A unigram model's file has them; a byte-pair
+model's has merge ranks, whose sum means nothing. Its pieces get the logarithm of
+the Zipf-Mandelbrot law of their rank instead: a rule, nothing is trained.
 
 No piece holds a space after another character, nor a line end, so words are
 segmented on their own and repeated words are remembered, up to a bound.
@@ -14,6 +20,7 @@ which is always written as bytes so that it is not read as a space.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from dataclasses import dataclass
@@ -33,6 +40,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Below the least score of a piece, for a character that has none.
 UNKNOWN_PENALTY = 10.0
+#: The law's shift for files of merge ranks: a piece of rank r weighs 1 / (r + ZIPF_SHIFT).
+ZIPF_SHIFT = 100.0
+#: Longer words are segmented piece by piece; and the characters after which pieces are settled.
+LONG_WORD, SETTLE = 2048, 8192
 #: Words remembered by a task, and the longest that is.
 REMEMBER, REMEMBER_LENGTH = 400_000, 48
 
@@ -50,8 +61,11 @@ def load_vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     """Read on the driver and broadcast, so executors need not have the file."""
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = range(model.get_piece_size())
+    scores = [model.get_score(i) for i in ids]
+    if all(x <= 0 and x == int(x) for x in scores):  # merge ranks
+        scores = [-math.log(ZIPF_SHIFT - x) for x in scores]
     kind = lambda i: "u" if model.is_unknown(i) else "c" if model.is_control(i) else "b" if model.is_byte(i) else "x" if model.is_unused(i) else "n"
-    return Vocabulary([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], "".join(map(kind, ids)))
+    return Vocabulary([model.id_to_piece(i) for i in ids], scores, "".join(map(kind, ids)))
 
 
 class Encoder(dict):
@@ -67,6 +81,8 @@ class Encoder(dict):
         self.bytes = {int(vocabulary.pieces[i][3:5], 16): i for i, k in enumerate(vocabulary.kinds) if k == "b"}
         self.unknown = next((i for i, k in enumerate(vocabulary.kinds) if k == "u"), 0)
         self.unknown_score = min((vocabulary.scores[i] for i in normal), default=0.0) - UNKNOWN_PENALTY
+        self.lengths = [len(p) for p in vocabulary.pieces]
+        self.longest = max((self.lengths[i] for i in normal), default=1)
         self.single = {vocabulary.pieces[i] for i in normal if len(vocabulary.pieces[i]) == 1}
         inner = [p for p in (vocabulary.pieces[i] for i in normal) if SPACE in p.lstrip(SPACE) or "\n" in p]
         self.by_word = not inner  # else a text is one word
@@ -82,6 +98,8 @@ class Encoder(dict):
     def segment(self, word: str) -> list[int]:
         """The best ids of a word; SPACE stands for a space."""
         n = len(word)
+        if n > LONG_WORD:
+            return self._segment_long(word)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         if self.single.issuperset(word):
             for end, (length, i, score) in self.automaton.iter(word):
@@ -104,6 +122,46 @@ class Encoder(dict):
             at = start
         return out[::-1]
 
+    def _segment_long(self, word: str) -> list[int]:
+        """The same; scores and pieces of places are kept only back to the last that all best paths share."""
+        best, back, first, due = array("d", [0.0]), array("i", [0]), 0, SETTLE
+        out: array = array("i")
+        length_of = lambda i: 1 if i < 0 else self.lengths[i]
+
+        def settle(to: int) -> None:
+            path, at = [], to
+            while at > first:
+                i = back[at - first]
+                path += [i] if i >= 0 else self._as_bytes(word[at - 1])[::-1]
+                at -= length_of(i)
+            out.extend(path[::-1])
+
+        found = self.automaton.iter(word)
+        match = next(found, None)
+        for end in range(1, len(word) + 1):
+            value, piece = -math.inf, -1
+            while match is not None and match[0] == end - 1:
+                length, i, score = match[1]
+                if (total := best[end - length - first] + score) > value:
+                    value, piece = total, i
+                match = next(found, None)
+            if word[end - 1] not in self.single and (total := best[end - 1 - first] + self.unknown_score) > value:
+                value, piece = total, -1
+            best.append(value)
+            back.append(piece)
+            if end - first >= due:
+                alive = set(range(max(first, end + 1 - self.longest), end + 1))  # where a piece still to come may begin
+                while len(alive) > 1:
+                    last = max(alive)
+                    alive.remove(last)
+                    alive.add(last - length_of(back[last - first]))
+                (shared,) = alive
+                settle(shared)
+                best, back, due = best[shared - first :], back[shared - first :], end - shared + SETTLE
+                first = shared
+        settle(len(word))
+        return out.tolist()
+
     def _as_bytes(self, character: str) -> list[int]:
         raw = character.encode("utf-8", "surrogateescape")
         return [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
@@ -158,7 +216,9 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """docs with ``pieces``, the ids of each whole text. Null and empty texts have none.
 
-    Every input row has one output row; a column named pieces is replaced.
+    Every input row has one output row, repeated ones included; an empty table has
+    none. Long texts are encoded as a whole. Of segmentations of equal score the one
+    with the longer last piece counts. A column named pieces is replaced.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -191,7 +251,7 @@ def join_pieces(ids: pa.ListArray, table_: pa.Array) -> pa.Array:
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces") -> DataFrame:
-    """rows with ``decoded``, the text of the ids; null and empty lists give ''."""
+    """rows with ``decoded``, the text of the ids; null and empty lists give ''. A column of that name is replaced."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     names = [c for c in rows.columns if c != "decoded"]
 
