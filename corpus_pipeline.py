@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, near_duplicates, secret_scan, sentencepiece_codec, toxicity
-from lectern.llm.common import shared_folder, table
+from lectern.llm.common import checkpointed, removed, shared_folder, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; one row where an id repeats."""
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
-    out = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    """One row of each group: the least by id and text hash; rows without an id and texts without a word stay.
+
+    Of rows that repeat an id and a text one stays. Rows that share an id but not
+    the text are documents of their own, so no text goes with another.
+    """
+    keys = ["doc_id", unused(docs, "text_hash")]
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    found = checkpointed(found.select("doc_id", F.col("text_hash").alias(keys[1]), "chosen"))
+    rows = docs.withColumn(keys[1], F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(found.where(~F.col("chosen")).select(*keys).distinct(), keys, "left_anti")
+    repeated = found.where("chosen").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
+    if not repeated.isEmpty():
+        own = F.struct(*docs.columns)
+        once = kept.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min(own).alias("row"))
+        kept = kept.join(repeated, keys, "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
+    return kept.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,13 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table. A stage's table goes once the next one's is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        if last is not None:
+            removed(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
