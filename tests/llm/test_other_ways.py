@@ -2,7 +2,7 @@
 
 import random
 
-from lectern.llm import decontamination, near_duplicates, url_filter
+from lectern.llm import common, decontamination, near_duplicates, url_filter
 
 
 def _texts(n, seed=3):
@@ -17,6 +17,8 @@ def test_pairs_that_are_shuffled(documents, monkeypatch):
     few = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()}
     monkeypatch.setattr(near_duplicates, "BROADCAST_PAIRS", 0)
     monkeypatch.setattr(near_duplicates, "SHORT_LIST", 4)
+    monkeypatch.setattr(near_duplicates, "GROUP", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()} == few
     assert 1 < len(set(few.values())) < 60
 
@@ -33,8 +35,18 @@ def test_benchmarks_in_blocks(spark, documents, monkeypatch):
     texts = _texts(12, seed=9)
     items = spark.createDataFrame([(k, " ".join(t.split()[:20])) for k, t in enumerate(texts)], "item_id bigint, text string")
     docs = documents([(k, t, "s") for k, t in enumerate(texts)])
-    rows = lambda: sorted((r["doc_id"], x["item_id"], x["distance"]) for r in decontamination.find_leaks(docs, items).collect() for x in r["leaks"])
+    rows = lambda n=None: sorted((r["doc_id"], x["item_id"], x["distance"]) for r in decontamination.find_leaks(docs, items, block_words=n).collect() for x in r["leaks"])
     one = rows()
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
-    # tables are drawn for each block, so only copies within the limit but far from exact may differ
-    assert [x for x in rows() if x[2] == 0] == [x for x in one if x[2] == 0] and len(one) >= 12
+    assert len(one) >= 12
+    for words in (60, 20):
+        # tables are drawn for each block, so only copies within the limit but far from exact may differ
+        assert [x for x in rows(words) if x[2] == 0] == [x for x in one if x[2] == 0]
+
+
+def test_items_that_share_an_id_in_blocks(spark, documents):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i x"), (2, "k l m n")], "item_id bigint, text string")
+    docs = documents([(1, "z a b c d e f g h i x y k l m n", "s"), (2, None, "s"), (1, "z a b c d e f g h i x y k l m n", "s")])
+    for words in (None, 1):
+        found = decontamination.find_leaks(docs.withColumn("_h1", docs["doc_id"]), items, block_words=words)
+        assert found.columns == [*docs.columns, "_h1", "leaks"]
+        assert sorted([[(x["item_id"], x["distance"], x["start_word"]) for x in r["leaks"]] for r in found.collect()]) == [[], [(1, 0, 1), (2, 0, 12)], [(1, 0, 1), (2, 0, 12)]]
