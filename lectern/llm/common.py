@@ -15,7 +15,7 @@ SAMPLE_CHARS = 200_000
 #: Bytes that part words: what ``bytes.split()`` splits at, space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with more rows may be broadcast instead of shuffled, so many keys at most.
-HOT_ROWS, MOST_HOT = 2000, 20_000
+HOT_ROWS, MOST_HOT = 500, 20_000
 #: What an Arrow batch may hold.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 

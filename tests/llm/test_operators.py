@@ -571,7 +571,8 @@ def test_line_frequency(documents):
 
 def test_lines_of_a_large_host(documents, monkeypatch):
     """A line in many documents goes, though it is in a small share of its host's; whichever way lines are joined."""
-    rows = [(k, " ".join(f"w{k}x{i}" for i in range(30)) + ("\nshared line" if k < 16 else "\nrare line" if k < 30 else ""), "big") for k in range(3000)]
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits count alike
+    rows = [(k, " ".join(f"{letters(k)}x{letters(i)}" for i in range(30)) + ("\nshared line" if k < 16 else "\nrare line" if k < 30 else ""), "big") for k in range(3000)]
     docs = documents(rows)
     found = {r["doc_id"]: r["removed_words"] for r in line_rules.judge(docs, many_docs=15).collect()}
     assert {k for k, n in found.items() if n == 2} == set(range(16)) and sum(found.values()) == 32
