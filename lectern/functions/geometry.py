@@ -169,12 +169,14 @@ def is_vertical(width: Column, height: Column) -> Column:
 def comes_before(a: dict[str, Column], b: dict[str, Column], rtl: Column) -> Column:
     """Whether box a is read before box b, both given as x1, y1, x2, y2.
 
-    Both directions can hold at once; reading order resolves that.
+    Both directions can hold at once; reading order resolves that. The mean of two
+    heights is a whole number, as is a quarter of it: halves go towards zero.
     """
-    height = (span_of(a["y1"], a["y2"]) + span_of(b["y1"], b["y2"])).cast("double") / 2
+    height = F.call_function("div", span_of(a["y1"], a["y2"]) + span_of(b["y1"], b["y2"]), F.lit(2)).cast("int")
+    quarter = F.call_function("div", height, F.lit(4)).cast("int")
     below = middle(b["y1"], b["y2"]) - middle(a["y1"], a["y2"])
     ax, bx = middle(a["x1"], a["x2"]), middle(b["x1"], b["x2"])
-    ltr = (ax < bx) & (a["x2"] <= b["x1"] + height / 4)
-    mirrored = (ax > bx) & (a["x1"] >= b["x2"] - height / 4)
+    ltr = (ax < bx) & (a["x2"] <= b["x1"] + quarter)
+    mirrored = (ax > bx) & (a["x1"] >= b["x2"] - quarter)
     beside = F.abs(below) <= (height * 0.5).cast("int")
     return (below > (height * 0.3).cast("int")) | (beside & F.when(rtl, mirrored).otherwise(ltr))

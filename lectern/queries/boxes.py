@@ -90,11 +90,11 @@ def detector_scale(spark, sf_dir):
 
 
 @query(f"""WITH {PAGE_BOXES}, p AS (
-  SELECT a.page, a.ord AS a, b.ord AS b, (greatest(a.y2 - a.y1, 1) + greatest(b.y2 - b.y1, 1))::DOUBLE / 2 AS h,
+  SELECT a.page, a.ord AS a, b.ord AS b, (greatest(a.y2 - a.y1, 1) + greatest(b.y2 - b.y1, 1)) // 2 AS h,
          (b.y1 + b.y2) // 2 - (a.y1 + a.y2) // 2 AS v, (a.x1 + a.x2) // 2 AS ax, (b.x1 + b.x2) // 2 AS bx, a.x1 AS al, a.x2 AS ar, b.x1 AS bl, b.x2 AS br
   FROM page_boxes a JOIN page_boxes b ON a.page = b.page AND a.ord < b.ord)
-SELECT page, a, b, v > trunc(h * 0.3::DOUBLE) OR (abs(v) <= trunc(h * 0.5::DOUBLE) AND ax < bx AND ar <= bl + h / 4) AS ltr,
-       v > trunc(h * 0.3::DOUBLE) OR (abs(v) <= trunc(h * 0.5::DOUBLE) AND ax > bx AND al >= br - h / 4) AS rtl FROM p""")
+SELECT page, a, b, v > trunc(h * 0.3::DOUBLE) OR (abs(v) <= trunc(h * 0.5::DOUBLE) AND ax < bx AND ar <= bl + h // 4) AS ltr,
+       v > trunc(h * 0.3::DOUBLE) OR (abs(v) <= trunc(h * 0.5::DOUBLE) AND ax > bx AND al >= br - h // 4) AS rtl FROM p""")
 def comes_before(spark, sf_dir):
     rows = page_boxes(spark, sf_dir).select("page", "ord", "x1", "y1", "x2", "y2")
     a, b = rows.toDF("page", "a", *(f"a_{c}" for c in ("x1", "y1", "x2", "y2"))), rows.toDF("page", "b", *(f"b_{c}" for c in ("x1", "y1", "x2", "y2")))
