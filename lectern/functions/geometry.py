@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 POINT = "struct<x:int,y:int>"
 BOUNDS = f"array<{POINT}>"
+BOUNDS_FIELD = "bounds:array<struct<x:int,y:int>>"
 
 
 def _int(value: Column) -> Column:
@@ -97,6 +98,34 @@ def overlap(a: list[Column], b: list[Column]) -> Column:
     return _ratio(intersection(a, b), _area(*a), F.lit(True))
 
 
+def is_upright(bounds: Column) -> Column:
+    """Whether four points are an upright box, from its top left clockwise."""
+    x, y = (lambda i: bounds[i]["x"]), (lambda i: bounds[i]["y"])
+    return (x(0) == x(3)) & (x(1) == x(2)) & (y(0) == y(1)) & (y(2) == y(3)) & (x(0) <= x(1)) & (y(0) <= y(3))
+
+
+def quad_overlap(a: str, b: str) -> Column:
+    """Share of box a that box b covers, of columns of four points of any convex shape; 0 if a is flat.
+
+    Box a is cut by the four sides of b, one after another; a side keeps what is
+    left of it, once b's points go round with a positive area.
+    """
+    twice = lambda p: f"aggregate(sequence(0, size({p}) - 1), 0D, (s, i) -> s + {p}[i].x * {p}[(i + 1) % size({p})].y - {p}[i].y * {p}[(i + 1) % size({p})].x)"
+    points = lambda c: f"transform({c}, p -> named_struct('x', double(p.x), 'y', double(p.y)))"
+    side = lambda p: f"((e.r.x - e.q.x) * ({p}.y - e.q.y) - (e.r.y - e.q.y) * ({p}.x - e.q.x))"
+    window = f"transform(array({points(b)}), w -> if({twice('w')} < 0, reverse(w), w))[0]"
+    sides = f"transform(array({window}), w -> transform(sequence(0, 3), i -> named_struct('q', w[i], 'r', w[(i + 1) % 4])))[0]"
+    here, after = "poly[i]", "poly[(i + 1) % size(poly)]"
+    share = f"({side(here)} / ({side(here)} - {side(after)}))"
+    crossing = f"named_struct('x', {here}.x + ({after}.x - {here}.x) * {share}, 'y', {here}.y + ({after}.y - {here}.y) * {share})"
+    kept = f"if({side(here)} >= 0, array({here}), filter(array({here}), x -> false))"
+    crossed = f"if(({side(here)} >= 0) <> ({side(after)} >= 0), array({crossing}), filter(array({here}), x -> false))"
+    cut = f"if(size(poly) = 0, poly, flatten(transform(sequence(0, size(poly) - 1), i -> concat({kept}, {crossed}))))"
+    common = f"aggregate({sides}, {points(a)}, (poly, e) -> {cut})"
+    area = f"transform(array({common}), c -> if(size(c) < 3, 0D, abs({twice('c')}) / 2))[0]"
+    return F.expr(f"float(transform(array({points(a)}), o -> if({twice('o')} = 0, 0D, {area} / (abs({twice('o')}) / 2)))[0])")
+
+
 def corner_order(bounds: Column) -> tuple[Column, Column]:
     """(points from the top left clockwise, longest side) of a four-point box.
 

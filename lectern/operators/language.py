@@ -37,10 +37,20 @@ _SCRIPTS = (
 )
 
 
+# Fixed values of the sample: places are taken in the order of place * 7919 modulo 10007.
+_STEP, _RING = 7919, 10007
+
+
+def sampled_places(n_lines: int, n: int = SAMPLE_LINES) -> list[int]:
+    """Places of the lines of a page that are sampled: all of a short page, else some that are spread over it."""
+    return sorted(sorted(range(n_lines), key=lambda place: (place * _STEP % _RING, place))[:n])
+
+
 def sample_lines(lines: DataFrame, keys: list[str], n: int = SAMPLE_LINES) -> DataFrame:
-    """At most n lines a page, the same at every run: the feature is a sample."""
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*keys, "ord"), "ord")
-    return lines.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    """At most n lines a page, as ``sampled_places`` draws them by place in ``ord``: the feature is a sample."""
+    rows = lines.withColumn("_place", (F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1).cast("bigint"))
+    order = Window.partitionBy(*keys).orderBy(F.col("_place") * _STEP % _RING, "_place")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_place")
 
 
 def mean_score(samples: DataFrame, keys: list[str]) -> DataFrame:

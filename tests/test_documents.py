@@ -174,7 +174,7 @@ def test_result_json(spark):
     assert rows[1]["status"] == 200 and body["status"] == "success"
     assert body["result"]["pages"] == [{"page_number": 1, "text": 'say "a"', "orientation": None, "detected_language": "english"}, {"page_number": 2, "text": None, "orientation": 90}]
     assert body["result"]["metadata"] == {"document_type": "Text", "page_count": "2", "language": "english"} and "tables" not in body["result"]
-    assert rows[2]["status"] == 400 and json.loads(rows[2]["body"])["error"]["code"] == "PathTraversal"
+    assert rows[2]["status"] == 400 and json.loads(rows[2]["body"]) == {"status": "error", "error": "Validation Error", "details": "Filename contains path traversal sequence"}
     assert results.health() == {"status": "ok", "version": "0.1.0"}
 
 
