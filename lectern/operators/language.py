@@ -1,11 +1,12 @@
-"""Language of pages: sampled lines, scored models, and letter statistics of text."""
+"""Language of pages: sampled lines, scored models, and letter and word statistics of text.
 
-from __future__ import annotations
+A text's script comes first: the one that most of its letters belong to. Within a
+script, letters that only one language has decide; in Latin script the language
+with the most frequent words does. All of it is column expressions.
+"""
 
-from collections import Counter
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,11 @@ SAMPLE_LINES = 3
 FALLBACK = "english"
 #: Languages that are candidates for every model.
 ALWAYS = ("english", "chinese")
+#: Share of letters that a script needs; kana need less, as they stand among Chinese letters.
+SCRIPT_SHARE, KANA_SHARE = 0.3, 0.05
 
 # Frequent short words of languages in Latin script.
-_COMMON = {
+COMMON = {
     "english": "the of and to in is that it was for on are with as by be this",
     "french": "le la les de des et est un une que qui dans pour par sur au du en",
     "german": "der die das und ist von zu den mit sich des auf für im nicht ein eine als",
@@ -28,13 +31,50 @@ _COMMON = {
     "finnish": "ja on ei se että oli hän mutta kun niin ovat tai myös",
     "polish": "i w z na do się nie to że jest o jak po przez",
     "turkish": "ve bir bu için ile da de çok daha gibi ne kadar",
+    "bokmal": "og i det som er på til av jeg ikke hvordan fra eller også noe",
+    "nynorsk": "og i det som er på til av eg ikkje korleis frå eller òg noko",
+    "icelandic": "og að það sem er í á við ekki til hann þetta eða með",
+    "catalan": "el la els les i de que és amb per una no aquest també més",
+    "romanian": "și de la în cu pe nu este care sunt din mai pentru o ce",
+    "latin": "et in est non ad cum ut quod sed qui ex atque enim esse",
+    "czech": "a se na je že s to v z do pro jako ale byl který",
+    "slovak": "a sa na je že s to v z do pre ako ale bol ktorý",
+    "croatian": "i je u da se na za su od što kao ili bi iz",
+    "slovene": "in je da se na za so od kot ali bi iz pa tudi",
+    "hungarian": "a az és hogy nem is egy ez van meg de mint volt",
+    "estonian": "ja on ei see et oli ta kui ning oma mis ka või",
+    "latvian": "un ir ar no par ka tas uz kā bet arī vai pie",
+    "lithuanian": "ir yra su iš kad tai į bet kaip arba buvo taip",
+    "albanian": "dhe të në që një me për nuk është nga si më",
+    "basque": "eta da ez du bat dira hau baina ere izan zen dute",
+    "welsh": "y yr yn a mae ei ac o i ar am oedd gan",
+    "irish": "an agus na ar is i le go tá sé bhí níl ag",
+    "indonesian": "yang dan di ini itu dengan untuk tidak dari dalam akan pada",
+    "malay": "yang dan di ini itu dengan untuk tidak daripada dalam akan kepada",
+    "vietnamese": "là và của không có một cho được với các này trong",
+    "tagalog": "ang ng sa mga na at ay ito si hindi para kung",
+    "swahili": "na ya wa kwa ni katika la za hii kama si cha",
+    "esperanto": "la kaj de estas en al ne mi vi por kun tiu",
+    "afrikaans": "die en van is in het dat nie vir op met ek",
+    "azerbaijani": "və bir bu üçün ilə də çox daha kimi nə olan",
+    "somali": "iyo ka ku waa in oo la uu ayaa waxaa si",
+    "yoruba": "ni ti àwọn sí tí wọ́n fún pé náà kan jẹ́",
+    "zulu": "ukuthi futhi kodwa uma ngoba yebo cha lapho manje",
 }
-# First and last letter of scripts, with a language that each stands for.
-_SCRIPTS = (
+# First and last letter of scripts, with the language that each stands for by itself.
+SCRIPTS = (
     ("russian", 0x0400, 0x04FF), ("greek", 0x0370, 0x03FF), ("arabic", 0x0600, 0x06FF), ("hebrew", 0x0590, 0x05FF), ("hindi", 0x0900, 0x097F),
     ("bengali", 0x0980, 0x09FF), ("gujarati", 0x0A80, 0x0AFF), ("punjabi", 0x0A00, 0x0A7F), ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F),
     ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("armenian", 0x0530, 0x058F), ("japanese", 0x3040, 0x30FF), ("korean", 0xAC00, 0xD7AF), ("chinese", 0x4E00, 0x9FFF),
 )
+# Letters that tell other languages of a script, the first found decides.
+OWN_LETTERS = (
+    ("russian", "belarusian", "ўЎ"), ("russian", "ukrainian", "їєґЇЄҐ"), ("russian", "macedonian", "ѓќѕЃЌЅ"), ("russian", "serbian", "љњђћјЉЊЂЋЈ"),
+    ("russian", "kazakh", "әғқңұһӘҒҚҢҰҺ"), ("russian", "mongolian", "өүӨҮ"),
+    ("arabic", "urdu", "ٹڈڑےں"), ("arabic", "persian", "پچژگ"), ("hindi", "marathi", "ळ"),
+)
+#: What may stand before or after a word.
+EDGES = ".,;:!?()\"'"
 
 
 # Fixed values of the sample: places are taken in the order of place * 7919 modulo 10007.
@@ -69,21 +109,54 @@ def candidates(languages: Column) -> Column:
     return F.array_union(languages, F.array(*map(F.lit, ALWAYS)))
 
 
-def detect(text: str) -> str | None:
-    """The most likely language of a text by script and frequent words; None without a letter."""
-    letters = np.array([ord(c) for c in text if c.isalpha()])
-    if not letters.size:
-        return None
-    shares = {name: float(((letters >= a) & (letters <= b)).mean()) for name, a, b in _SCRIPTS}
-    script, share = max(shares.items(), key=lambda x: x[1])
-    if shares["japanese"] > 0.05:
-        return "japanese"
-    if share > 0.3:
-        return script
-    words = Counter(w.strip(".,;:!?()\"'") for w in text.lower().split())
-    scores = {name: sum(words[w] for w in common.split()) for name, common in _COMMON.items()}
-    best = max(scores, key=lambda k: (scores[k], k == FALLBACK))
-    return best if scores[best] else FALLBACK
+def _count(letters: Column, low: int, high: int) -> Column:
+    return F.char_length(F.regexp_replace(letters, f"[^\\x{{{low:04X}}}-\\x{{{high:04X}}}]", ""))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _by_words(text: Column) -> Column:
+    """The language in Latin script with the most frequent words; English without any."""
+    words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, f"^[{EDGES}]+|[{EDGES}]+$", ""))
+    known = F.filter(words, lambda w: w.isin(*sorted({w for common in COMMON.values() for w in common.split()})))
+
+    def most(found: Column) -> Column:
+        count = lambda common: F.size(F.filter(found, lambda w: w.isin(*common.split())))
+        scores = (
+            F.struct(count(common).alias("n"), F.lit(name == FALLBACK).alias("first"), F.lit(-k).alias("place"), F.lit(name).alias("name"))
+            for k, (name, common) in enumerate(COMMON.items())
+        )
+        return F.array_max(F.array(*scores))["name"]
+
+    return _let(known, lambda found: F.when(F.size(found) > 0, most(found)).otherwise(FALLBACK))
+
+
+def detect(text: Column) -> Column:
+    """The most likely language of a text by script, letters and frequent words; null without a letter.
+
+    Of scripts with as many letters the first counts; of languages with as many
+    words English, then the first; without any such word a text is in English.
+    """
+    kana = next(k for k, s in enumerate(SCRIPTS) if s[0] == "japanese")
+
+    def by_script(letters: Column) -> Column:
+        counts = F.array(*(F.struct(_count(letters, low, high).alias("n"), F.lit(-k).alias("place"), F.lit(name).alias("name")) for k, (name, low, high) in enumerate(SCRIPTS)))
+        n = F.char_length(letters)
+
+        def chosen(found: Column) -> Column:
+            script = F.array_max(found)
+            own = script["name"]
+            for base, name, signs in reversed(OWN_LETTERS):
+                own = F.when((script["name"] == base) & text.rlike(f"[{signs}]"), name).otherwise(own)
+            return F.when(found[kana]["n"] > KANA_SHARE * n, "japanese").when(script["n"] > SCRIPT_SHARE * n, own).otherwise(_by_words(text))
+
+        foreign = F.regexp_replace(letters, r"[\x{0041}-\x{024F}]", "") != ""  # else all letters are Latin
+        return F.when(n > 0, F.when(foreign, _let(counts, chosen)).otherwise(_by_words(text)))
+
+    return _let(F.regexp_replace(text, r"[^\p{L}]", ""), by_script)
 
 
 def detected(text: Column, among: Column) -> Column:
@@ -91,25 +164,15 @@ def detected(text: Column, among: Column) -> Column:
 
     This is a small scorer of our own, which stands in for a trained detector.
     """
-
-    @F.pandas_udf("string")
-    def best(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: detect(t) if t else None)
-
-    found = best(text)
+    found = detect(text)
     return F.when(F.array_contains(among, found), found).otherwise(F.element_at(among, 1))
 
 
 def language_of_text(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """pages with language (fallback English), confidence 1 and error_kind for empty text."""
-
-    @F.pandas_udf("string")
-    def best(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: detect(t) if t else None)
-
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     return pages.withColumns({
-        "language": F.when(~empty, F.coalesce(best(text), F.lit(FALLBACK))),
+        "language": F.when(~empty, F.coalesce(detect(F.col(text)), F.lit(FALLBACK))),
         "confidence": F.when(~empty, F.lit(1.0)),
         "error_kind": F.when(empty, F.lit("InferenceError")),
     })

@@ -13,6 +13,7 @@ from lectern.plans import analysis, pages
 from lectern.queries.base import LINES, lines, page_boxes, query
 from lectern.sources import text_files
 from lectern.sources.tables import table
+from lectern.storage import shared_folder
 from lectern.streaming import documents as streaming
 
 
@@ -145,9 +146,35 @@ def page_language(spark, sf_dir):
     return languages.with_model(rows, languages.catalog(languages.catalog_rows(spark))).select("doc_id", "language", "model_file", "directionality")
 
 
-@query()
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def detect_sql(text: str) -> str:
+    """SQL of ``language.detect``."""
+    letters = f"regexp_replace({text}, '[^\\p{{L}}]', '', 'g')"
+    count = lambda low, high: f"length(regexp_replace({letters}, '[^\\x{{{low:04X}}}-\\x{{{high:04X}}}]', '', 'g'))"
+    scripts = [f"{{'n': {count(low, high)}, 'p': {-k}, 'name': '{name}'}}" for k, (name, low, high) in enumerate(language.SCRIPTS)]
+    edges = language.EDGES.replace("'", "''")
+    words = f"list_transform(regexp_split_to_array(lower({text}), '\\s+'), lambda w: regexp_replace(w, '^[{edges}]+|[{edges}]+$', '', 'g'))"
+    scores = [
+        f"{{'n': len(list_filter({words}, lambda w: list_contains({_list(common.split())}, w))), 'f': {str(name == language.FALLBACK).lower()}, 'p': {-k}, 'name': '{name}'}}"
+        for k, (name, common) in enumerate(language.COMMON.items())
+    ]
+    script, best = f"list_max([{', '.join(scripts)}])", f"list_max([{', '.join(scores)}])"
+    own = " ".join(f"WHEN {script}.name = '{base}' AND regexp_matches({text}, '[{signs}]') THEN '{name}'" for base, name, signs in language.OWN_LETTERS)
+    kana = next(count(low, high) for name, low, high in language.SCRIPTS if name == "japanese")
+    n = f"length({letters})"
+    return (
+        f"CASE WHEN {n} = 0 THEN NULL WHEN {kana} > {language.KANA_SHARE} * {n} THEN 'japanese' WHEN {script}.n > {language.SCRIPT_SHARE} * {n} THEN CASE {own} ELSE {script}.name END "
+        f"WHEN {best}.n > 0 THEN {best}.name ELSE '{language.FALLBACK}' END"
+    )
+
+
+@query(f"""SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN coalesce({detect_sql('text')}, 'english') END AS language, CASE WHEN coalesce(text, '') <> '' THEN 1.0::DOUBLE END AS confidence,
+  CASE WHEN coalesce(text, '') = '' THEN 'InferenceError' END AS error_kind FROM documents""")
 def detected_language(spark, sf_dir):
-    """The language of every text by script and frequent words."""
+    """The language of every text by script, letters and frequent words."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
     return language.language_of_text(rows, ["doc_id"]).select("doc_id", "language", "confidence", "error_kind")
 
@@ -178,10 +205,11 @@ def document_language(spark, sf_dir):
     return language.document_language(rows)
 
 
-@query(f"""WITH {LINES}, n AS (SELECT page, least(count(*), 3)::BIGINT AS n_lines FROM lines GROUP BY page) SELECT page, n_lines FROM n""")
+@query(f"""WITH {LINES}, p AS (SELECT page, ord, row_number() OVER (PARTITION BY page ORDER BY ord) - 1 AS place FROM lines)
+SELECT page, ord FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY place * 7919 % 10007, place) AS n FROM p) WHERE n <= 3""")
 def sample_lines(spark, sf_dir):
-    """How many lines are sampled of each page: three at most, by hash."""
-    return language.sample_lines(lines(spark, sf_dir), ["page"]).groupBy("page").agg(F.count("*").alias("n_lines"))
+    """The lines that are sampled of each page: three at most, by place."""
+    return language.sample_lines(lines(spark, sf_dir), ["page"]).select("page", "ord")
 
 
 _ASKED = "asked AS (SELECT a.conv_id AS doc_id, a.turn AS page_number, b.turn AS q_turn, a.text, b.text AS question FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.role = 'user' WHERE a.role = 'assistant' AND trim(coalesce(a.text, '')) <> '')"
@@ -235,7 +263,7 @@ def layout_classes(spark, sf_dir):
 @query("SELECT event_id AS doc_id, 1 AS page_number, event_type || ' ' || user_id AS text FROM events")
 def stream_pages(spark, sf_dir):
     """events as a stream of text documents, through the batch loader."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lectern-checkpoints')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = streaming.table_stream(spark, sf_dir, "events.parquet")
 
     def pages_of(batch):

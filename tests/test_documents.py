@@ -129,9 +129,12 @@ def test_catalog(spark):
 
 
 def test_language_detection(spark):
-    assert language.detect("der Hund ist nicht mit den Katzen") == "german"
-    assert language.detect("Привет мир") == "russian"
-    assert language.detect("123") is None
+    texts = {
+        "der Hund ist nicht mit den Katzen": "german", "Привет мир": "russian", "123": None, "": None, "xyz": "english", "Це їжа": "ukrainian", "Ово је љубав": "serbian",
+        "این یک گربه است": "persian", "これは漢字です": "japanese", "这是中文": "chinese", "och det är inte": "swedish", "és ez nem egy": "hungarian", "kaj estas, ne mi": "esperanto",
+    }
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", language.detect(F.col("t")).alias("l")).collect()
+    assert {r["t"]: r["l"] for r in found} == texts
     rows = spark.createDataFrame([("le chat est dans la maison", ["english", "french"]), ("Привет", ["greek", "english"])], "t string, l array<string>")
     assert [r["f"] for r in rows.select(language.detected(F.col("t"), F.col("l")).alias("f")).collect()] == ["french", "greek"]
 
