@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.storage import checkpointed, removed, shared_folder  # noqa: F401  for the operators
+
 #: Of longer texts a part of this length is learned from (they are scored like all others).
 SAMPLE_CHARS = 200_000
 #: Bytes that part words: what ``bytes.split()`` splits at, space and 0x09-0x0D.
@@ -39,29 +38,6 @@ def byte_lists(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; one of our own only in local mode, where it names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system with all it holds."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the cluster's shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def settled(df: DataFrame, rows_each: int = 50_000) -> tuple[DataFrame, int]:
     """df checkpointed, and its rows; in no more partitions than these fill.
 
