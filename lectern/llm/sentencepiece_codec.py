@@ -266,9 +266,20 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces") -> D
 
 
 def coded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """docs with pieces and decoded."""
-    vocabulary = load_vocabulary(model_file)
-    return decode(encode(docs, vocabulary), vocabulary)
+    """docs with pieces and decoded, as ``encode`` and ``decode`` give them, by one pass of one worker."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
+
+    def start():
+        encoder, by_id = Encoder(shared.value), pa.array(piece_bytes(shared.value), pa.large_binary())
+
+        def work(texts):
+            pieces = id_lists([encoder.packed(t) for t in texts])
+            return [pieces, join_pieces(pieces, by_id).cast(pa.binary()).view(pa.string())]
+
+        return work
+
+    return map_texts(docs, "pieces array<int>, decoded string", start)
 
 
 def op1_sentencepiece(spark, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:

@@ -672,3 +672,9 @@ def test_pipeline_by_its_stages(spark):
 
     assert set(out) == {k for k, v in left.items() if not leaks(v)}
     assert all(r["round_trip"] and (r["text"] == docs[k] or secret_scan.MASK in r["text"]) and r["n_chars"] == len(r["text"]) for k, r in out.items())
+
+
+def test_coded_in_one_pass(spark, odd, vocabulary):
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, vocabulary), vocabulary)
+    one = sentencepiece_codec.coded(odd)
+    assert one.columns == both.columns and sorted(map(str, one.collect())) == sorted(map(str, both.collect()))
