@@ -15,6 +15,8 @@ SAMPLE_CHARS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with more rows may be broadcast instead of shuffled, so many keys at most.
 HOT_ROWS, MOST_HOT = 500, 20_000
+#: Tables of so many rows are joined as they are: one task may hold all of them.
+SMALL = 20_000
 #: What an Arrow batch may hold.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
@@ -56,7 +58,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     are: by their number of members there are MOST_HOT such keys at most, however
     large the tables.
     """
-    if total <= HOT_ROWS:
+    if total <= SMALL:
         return left.join(right, keys, how)
     limit = max(HOT_ROWS, total // MOST_HOT)
     hot = right.where(F.col("members") > limit)

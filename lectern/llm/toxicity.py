@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = SAMPLE_DOCS) ->
     rows = drawn.orderBy("doc_id", "text").toPandas()
     texts, found = [t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist()
     del rows
+    pa.default_memory_pool().release_unused()
     return train(texts, found, share)
 
 

@@ -431,6 +431,7 @@ def test_language_model_learns_from_all_texts(documents):
 def test_url_rules_by_brute_force(spark, monkeypatch, shapes, hot):
     monkeypatch.setattr(url_filter, "FEW_SHAPES", shapes)
     monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "SMALL", hot)
     r = random.Random(6)
     rules = [(h, p, r.choice(("allow", "block"))) for h in ("net", "a.net", "b.a.net", "org") for p in ("/", "/x", "/x/y/", "") if r.random() < 0.7]
     urls = ["http://" + r.choice(("", "c.", "b.", "xa.")) + r.choice(("net", "a.net", "org", "anet")) + r.choice(("", "/", "/x", "/xz/y", "/x/y/z", "/X")) + r.choice(("", "?q", "#f")) for _ in range(300)]
@@ -578,6 +579,7 @@ def test_lines_of_a_large_host(documents, monkeypatch):
     assert {k for k, n in found.items() if n == 2} == set(range(16)) and sum(found.values()) == 32
     monkeypatch.setattr(line_rules, "BROADCAST_LINES", 0)
     monkeypatch.setattr(common, "HOT_ROWS", 12)
+    monkeypatch.setattr(common, "SMALL", 12)
     assert {r["doc_id"]: r["removed_words"] for r in line_rules.judge(docs, many_docs=15).collect()} == found
 
 

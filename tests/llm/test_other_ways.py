@@ -19,6 +19,7 @@ def test_pairs_that_are_shuffled(documents, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SHORT_LIST", 4)
     monkeypatch.setattr(near_duplicates, "GROUP", 3)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "SMALL", 5)
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()} == few
     assert 1 < len(set(few.values())) < 60
 
