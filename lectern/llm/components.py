@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settled, spread_join
+from lectern.llm.common import SMALL, settled, spread_join
 
 #: Edges a partition, where fewer partitions are enough.
 EDGES_EACH = 50_000
@@ -37,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         by_smaller = edges.groupBy("v").agg(F.count("*").alias("members"))
         least = by_smaller.join(by_larger.withColumnRenamed("u", "v"), "v", "left")
         large = spread_join(edges, least, ["v"], n)
-        large, n = settled(_distinct(large.select("u", F.coalesce("m", "v").alias("v")).coalesce(few)), EDGES_EACH)
+        large = _distinct(large.select("u", F.coalesce("m", "v").alias("v")).coalesce(few)).coalesce(few)
+        if n > SMALL:  # several joins follow; few edges are computed again
+            large, n = settled(large, EDGES_EACH)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members"))
         small = spread_join(large, least, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges, n = settled(_distinct(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few)), EDGES_EACH)

@@ -205,7 +205,7 @@ class Texts:
     repeats: bool  # some row that represents a class has equals
 
     def of(self, ids: DataFrame, n: int) -> DataFrame:
-        """(id, ..., text) for ``n`` distinct ids (id, ...)."""
+        """(id, ..., text) for at most ``n`` distinct ids (id, ...)."""
         keys = self.classes.select("id", "doc_id", "text_hash")
         keys = (F.broadcast(ids) if n <= BROADCAST_PAIRS else ids).join(keys, "id")
         found = _rows(self.docs).join(F.broadcast(keys) if n <= BROADCAST_PAIRS else keys, ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
@@ -215,8 +215,8 @@ class Texts:
 def _confirmed(pairs: DataFrame, texts: Texts) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as PERCENT."""
     pairs, n = settled(pairs.select("a", "b"))
-    ids, n_ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    rows = _with_members(pairs, n, texts.of(ids, n_ids), {"text": "text"})
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    rows = _with_members(pairs, n, texts.of(ids, 2 * n), {"text": "text"})
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm_batches, "a bigint, b bigint")
 
 
