@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with more rows may be broadcast instead of shuffled, so many keys at most.
 HOT_ROWS, MOST_HOT = 500, 20_000
 #: Tables of so many rows are joined as they are: one task may hold all of them.
-SMALL = 1000
+SMALL = 20_000
 #: What an Arrow batch may hold.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
