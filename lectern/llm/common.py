@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return rows.select("doc_id", "text", "label"), there.get(1, 0) / max(1, sum(there.values()))
 
 
+def learned(sample: DataFrame, train):
+    """``train(texts, labels)`` of a bounded sample (doc_id, text, label), run by one task on an executor.
+
+    Texts come in the order of id and text. The driver holds the model only, and
+    a lost executor costs one attempt. Labels of no row: ``train([], [])``.
+    """
+    bounded_batches(sample.sparkSession)
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts.extend(byte_lists(batch.column("text")))
+            labels.extend(batch.column("label").to_pylist())
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], [])
+
+
 def map_texts(docs: DataFrame, added: str, start, text: str = "text") -> DataFrame:
     """docs with columns computed from whole texts, Arrow batch by batch.
 

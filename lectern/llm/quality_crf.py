@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, labelled_sample, map_texts, remainder, table
+from lectern.llm.common import bounded_batches, labelled_sample, learned, map_texts, remainder, table
 
 #: Labelled documents to learn from, at most; those with more lines are learned from in pieces of so many.
 SAMPLE_DOCS, SAMPLE_LINES = 5000, 400
@@ -256,8 +256,7 @@ def judge(texts: list[bytes], model: Field) -> tuple[list[float], list[int], lis
 def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = SAMPLE_DOCS) -> Field:
     """Learn from about ``bound`` documents that have a label where ``learn`` holds."""
     drawn, share = labelled_sample(docs, labels, "quality", learn, bound)
-    rows = drawn.orderBy("doc_id", "text").toPandas()
-    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist(), share)
+    return learned(drawn, lambda texts, found: train(texts, found, share))
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:

@@ -3,7 +3,7 @@
 A document is toxic if one of its sentences is. Sentence scores come from a
 logistic model over the sentence's words and word beginnings and are combined by noisy-or; the
 model is trained from document labels alone and then points at the sentences
-that made a document toxic. Training runs in numpy on a bounded sample of
+that made a document toxic. Training runs in numpy, in one task, on a bounded sample of
 labelled documents, scoring over every whole text.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, labelled_sample, map_texts, remainder, table
+from lectern.llm.common import bounded_batches, labelled_sample, learned, map_texts, remainder, table
 
 #: Labelled documents to learn from, at most.
 SAMPLE_DOCS = 6000
@@ -28,7 +28,7 @@ ROUNDS, RATE, PENALTY = 160, 0.15, 2e-4
 START_BIAS = -7.0
 #: How far the classes weigh alike in training: 0 by their numbers, 1 fully. Lifts the rarer class's scores.
 BALANCE = 0.3
-#: Documents whose gradient is computed at a time: bounds the driver's memory.
+#: Documents whose gradient is computed at a time: bounds the memory of training.
 DOCS_AT_ONCE = 250
 #: Sentences at or above this score are reported.
 OFFENDING = 0.5
@@ -140,11 +140,7 @@ def train(texts: list[bytes], labels: list[int], share: float | None = None) ->
 def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = SAMPLE_DOCS) -> ToxicityModel:
     """Learn from at most ``bound`` documents that have a label where ``learn`` holds."""
     drawn, share = labelled_sample(docs, labels, "toxic", learn, bound)
-    rows = drawn.orderBy("doc_id", "text").toPandas()
-    texts, found = [t.encode("utf-8", "replace") for t in rows["text"]], rows["label"].tolist()
-    del rows
-    pa.default_memory_pool().release_unused()
-    return train(texts, found, share)
+    return learned(drawn, lambda texts, found: train(texts, found, share))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
