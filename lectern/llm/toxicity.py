@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import bounded_batches, labelled_sample, learned, map_texts, remainder, table
 
 #: Labelled documents to learn from, at most.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 8000
 #: Features to learn weights for, at most; those in fewer documents are left out.
 VOCABULARY, MIN_DOCS = 60_000, 3
 ROUNDS, RATE, PENALTY = 160, 0.15, 2e-4
