@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from lectern.llm import (
     decontamination,
+    importance_sampling,
     language_id,
+    lexical_search,
+    license_scan,
     line_rules,
     lm_scoring,
     near_duplicates,
@@ -26,6 +29,9 @@ _QUERIES = (
     language_id.op8_language_id,
     near_duplicates.op9_minhash_near_duplicates,
     line_rules.op10_quality_rules,
+    importance_sampling.op11_importance_resampling,
+    lexical_search.op12_lexical_search,
+    license_scan.op13_license_scan,
 )
 
 
@@ -34,4 +40,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_url_filter": url_filter.OP6_SQL, "op9_minhash_near_duplicates": near_duplicates.OP9_SQL, "op10_quality_rules": line_rules.OP10_SQL}
+    return {
+        "op6_url_filter": url_filter.OP6_SQL,
+        "op9_minhash_near_duplicates": near_duplicates.OP9_SQL,
+        "op10_quality_rules": line_rules.OP10_SQL,
+        "op11_importance_resampling": importance_sampling.OP11_SQL,
+        "op12_lexical_search": lexical_search.OP12_SQL,
+    }
