@@ -66,8 +66,9 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), uses))
         if seeds:
             self.seeds.make_automaton()
-        # a match begins and ends with whole words; of the matches at one place the closest counts
-        self.match = [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])") for notice, _, edits in self.notices]
+        # without edits whole words have to match; of the matches at one place the closest counts
+        exact, near = r"(?<![^ ]){0}(?![^ ])", r"(?e)(?:{0}){{e<={1}}}"
+        self.match = [regex.compile((near if edits else exact).format(regex.escape(notice, literal_spaces=True), edits)) for notice, _, edits in self.notices]
 
     def scan(self, text: str) -> tuple[list, list]:
         """((start, end, label) of phrases, (start, end, label, notice, edits) of notices) in words joined by spaces; places are characters."""
@@ -92,8 +93,7 @@ class Scanner:
         for i, own in windows.items():
             notice, label, edits = self.notices[i]
             for low, high in own:
-                high = text.find(" ", min(high, len(text)))
-                for m in self.match[i].finditer(text, low, len(text) if high < 0 else high):
+                for m in self.match[i].finditer(text, low, min(len(text), high + 1)):
                     found.append((m.start(), m.end(), label, notice, sum(m.fuzzy_counts)))
         return exact, sorted(set(found))
 
@@ -119,7 +119,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     Null and empty texts have no words: counts 0, places null, no label, score 0.
     Texts are scanned as a whole, however long; rows that repeat each have their
     result, an empty table has none. Where several notices match one place all
-    are reported, and of one notice matches that do not overlap. ``score`` is 1
+    are reported, and of one notice matches that do not overlap, each with all words
+    that it touches. A notice too short for an edit has to stand in whole words, of
+    longer ones any run of characters counts. ``score`` is 1
     where a phrase stands word for word; else 1 less the share of the allowed
     edits, and one more, that the closest match takes; 0 without a match.
     """
