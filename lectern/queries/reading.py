@@ -67,7 +67,28 @@ def plain_order(spark, sf_dir):
     return reading_order.plain_order(page_boxes(spark, sf_dir), ["page"]).select("page", "ord", F.col("position").cast("int").alias("position"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAGE_BOXES}, b AS (
+  SELECT *, (y1 + y2) // 2 AS cy, (x1 + x2) // 2 AS cx, greatest(y2 - y1, 1) AS h, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) // 2, ord) AS place,
+         row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) // 2, (x1 + x2) // 2, ord) AS k, max(greatest(y2 - y1, 1)) OVER (PARTITION BY page) AS tallest FROM page_boxes
+), near AS (
+  SELECT a.*, (SELECT count(*) FROM b o WHERE o.page = a.page AND o.cy <= a.cy + a.tallest) AS last_near FROM b a
+), pairs AS (
+  SELECT a.page, a.k AS a, c.k AS c, (a.h + c.h) // 2 AS h, c.cy - a.cy AS below, a.cx AS ax, c.cx AS cx, a.x2 AS a_right, c.x1 AS c_left,
+         greatest(a.place, c.place) <= least(a.last_near, c.last_near) AS is_near, c.place = a.last_near + 1 AS is_next
+  FROM near a JOIN near c ON a.page = c.page AND a.k <> c.k
+), edges AS (
+  SELECT page, a, c FROM pairs WHERE is_next OR (is_near AND (below > trunc(h * 0.3::DOUBLE) OR (abs(below) <= trunc(h * 0.5::DOUBLE) AND ax < cx AND a_right <= c_left + h // 4)))
+), nodes AS (
+  SELECT page, list(coalesce(held, []::BIGINT[]) ORDER BY k) AS held FROM b LEFT JOIN (SELECT page, c AS k, list(a) AS held FROM edges GROUP BY page, c) USING (page, k) GROUP BY page
+), reading AS (
+  SELECT page, held, []::BIGINT[] AS done FROM nodes
+  UNION ALL
+  SELECT page, held, list_append(done, pick) FROM (
+    SELECT page, held, done, list_filter(range(1, len(held) + 1), lambda i: NOT list_contains(done, i) AND list_has_all(done, held[i]))[1] AS pick FROM reading) WHERE pick IS NOT NULL
+), read_all AS (
+  SELECT page, list_concat(done, list_filter(range(1, len(held) + 1), lambda i: NOT list_contains(done, i))) AS done FROM (SELECT page, max_by(held, len(done)) AS held, max_by(done, len(done)) AS done FROM reading GROUP BY page)
+), placed AS (SELECT page, unnest(done) AS k, (generate_subscripts(done, 1) - 1)::INT AS position FROM read_all)
+SELECT page, ord, position FROM placed JOIN b USING (page, k)""")
 def reading_order_pages(spark, sf_dir):
     """Overlapping boxes, where no sort gives the order."""
     return reading_order.read_pages(page_boxes(spark, sf_dir), ["page"]).select("page", "ord", "position")
