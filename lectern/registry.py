@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.queries import base, boxes, documents, files, more, pictures, reading  # noqa: F401
+from lectern.queries import base, boxes, documents, files, more, pictures, reading, sources  # noqa: F401
 
 
 def queries() -> dict:

@@ -88,17 +88,20 @@ def sheet_text(name: str, rows: list[list[str]]) -> str:
     return "\n".join([f"Sheet: {name}", *("\t".join(r) for r in rows)])
 
 
+def sheet_rows(content: bytes) -> list[tuple]:
+    """(page_number, text, error_kind) of a spreadsheet's sheets."""
+    try:
+        return [(k + 1, sheet_text(*s), None) for k, s in enumerate(read_sheets(content))]
+    except Exception:  # any broken archive is this document's error
+        return [(1, None, "ExcelLoadError")]
+
+
 def excel_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_number, text, error_kind): a page for each sheet."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    rows += [(doc_id, k + 1, sheet_text(*s), None) for k, s in enumerate(read_sheets(content))]
-                except Exception:  # any broken archive is this document's error
-                    rows.append((doc_id, 1, None, "ExcelLoadError"))
+            rows = [(doc_id, *row) for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True) for row in sheet_rows(content)]
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "text", "error_kind"])
 
     return docs.select("doc_id", "content").mapInPandas(run, "doc_id bigint, page_number int, text string, error_kind string")
@@ -151,6 +154,15 @@ def read_blocks(content: bytes) -> list[dict]:
 
 
 _BLOCKS = ["block", "kind", "text", "broken", "row", "cell", "span"]
+BLOCK_COLUMNS = "block int, kind string, text string, broken boolean, row int, cell int, span int, error_kind string"
+
+
+def block_rows(content: bytes) -> list[tuple]:
+    """Rows of BLOCK_COLUMNS of a word-processor file; a broken file is one row with error_kind."""
+    try:
+        return [(*(b[c] for c in _BLOCKS), None) for b in read_blocks(content)] or [(0, "p", "", False, None, None, None, None)]
+    except Exception:  # any broken archive is this document's error
+        return [(0, "e", None, False, None, None, None, "WordLoadError")]
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
@@ -158,16 +170,11 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    rows += [(doc_id, *(b[c] for c in _BLOCKS), None) for b in read_blocks(content)] or [(doc_id, 0, "p", "", False, None, None, None, None)]
-                except Exception:  # any broken archive is this document's error
-                    rows.append((doc_id, 0, "e", None, False, None, None, None, "WordLoadError"))
+            rows = [(doc_id, *row) for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True) for row in block_rows(content)]
             out = pd.DataFrame(rows, columns=["doc_id", *_BLOCKS, "error_kind"])
             yield out.astype({"row": "Int32", "cell": "Int32", "span": "Int32"})
 
-    return docs.select("doc_id", "content").mapInPandas(run, "doc_id bigint, block int, kind string, text string, broken boolean, row int, cell int, span int, error_kind string")
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id bigint, {BLOCK_COLUMNS}")
 
 
 def _paged(blocks: DataFrame) -> DataFrame:

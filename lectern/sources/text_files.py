@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.validation import trim
+from lectern.operators.validation import SPACE, trim
 
 def _text() -> Column:
     """The content as text; null where it is not UTF-8."""
@@ -76,3 +77,14 @@ def csv_records(text: str) -> str:
     """
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=False) if r]
     return "\n".join(",".join(r) for r in rows[1:] if len(r) == len(rows[0]))
+
+
+def csv_text(content: bytes) -> str | None:
+    """Page text of a CSV file, as ``csv_pages`` has it; None if it is not UTF-8."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if "," in text:
+        return csv_records(text)
+    return "\n".join(re.sub(f"^{SPACE}+|{SPACE}+$", "", line) for line in text.removesuffix("\n").split("\n"))
