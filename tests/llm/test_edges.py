@@ -99,13 +99,49 @@ def test_line_rules(odd, none):
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages(spark, odd, none, empty, tmp_path):
+    """All five keep every column of the documents with its values, whatever their names."""
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = none if empty else odd
+    mine = odd.selectExpr("*", "array(doc_id) AS round_trip", "map('k', n_chars) AS text_hash", "'o' AS own", "named_struct('a', source) AS n_sentences", "map('m', map(1, text)) AS nested", "'y' AS chosen", "'z' AS `a.b`")
+    docs = none if empty else mine
+    before = {(r["doc_id"], r["text"]): r.asDict() for r in docs.collect()}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if k < 4:
-            assert out.columns == docs.columns
-        assert out.count() <= docs.count()
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert len(rows) <= docs.count()
+        for r in rows:
+            own = r.asDict()
+            assert {c: own[c] for c in docs.columns} == before[r["doc_id"], r["text"]]
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            before = {(r["doc_id"], r["text"]): r.asDict() for r in docs.collect()}
+    added = docs.columns[-2:]
+    assert added == (["pieces", "round_trip"] if empty else ["pieces_", "round_trip_"])
+    assert all(r[added[1]] for r in docs.collect())
+    if not empty:  # the first row that stands twice goes once, the benchmark's item goes with both
+        assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "3", "4", "6", "None"]
+
+
+def test_masking_changes_only_the_text(spark):
+    secret = "password = " + "Ab3xK9pQ7rT2" * 3
+    docs = spark.createDataFrame([(1, f"key {secret} end", 5, "mine"), (2, "no secret here", 6, "yours")], "doc_id bigint, text string, n_chars int, n_secrets string").withColumn("found", F.create_map(F.lit(1), F.lit(2)))
+    out = corpus_pipeline.mask_secrets(spark, docs, "")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert out.dtypes == docs.dtypes and rows[1]["text"].startswith("key ") and secret not in rows[1]["text"]
+    assert rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["n_chars"] == 6
+    assert [rows[k]["n_secrets"] for k in (1, 2)] == ["mine", "yours"] and rows[1]["found"] == {1: 2}
+
+
+def test_repeated_rows_of_any_type(spark, monkeypatch):
+    """Of rows that repeat an id and a text one stays, by the others as JSON; more dropped keys than are broadcast are joined."""
+    text = "one two three four five six seven"
+    rows = [(1, text, {"b": 1}, 2), (1, text, {"a": 9}, 1), (2, text, None, 3), (3, None, {"x": 0}, 4), (3, None, {"w": 0}, 5), (4, "other words altogether in this text", {}, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, chosen map<string,int>, component int")
+    first = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
+    second = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    key = lambda found: sorted((r["doc_id"], r["component"], str(r["chosen"])) for r in found)
+    assert key(first) == key(second) == [(1, 1, "{'a': 9}"), (3, 5, "{'w': 0}"), (4, 6, "{}")]
