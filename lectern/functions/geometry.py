@@ -175,7 +175,8 @@ def rounded(value: Column, scale: Column) -> Column:
 
 
 def along(start: Column, stop: Column, ratio: Column) -> Column:
-    return start + ((stop - start) * ratio).cast("int")
+    """The place at a ratio between two; the product is single precision, a whole number times a float would not be."""
+    return start + ((stop - start).cast("float") * ratio.cast("float")).cast("int")
 
 
 def word_box(line: Column, start: Column, end: Column, frames: Column, rtl: Column) -> Column:

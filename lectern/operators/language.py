@@ -187,15 +187,18 @@ def document_language(pages: DataFrame, requested: str = "requested", found: str
     return pages.withColumn("language", F.coalesce(requested, F.first(found, ignorenulls=True).over(upto))).select("doc_id", "page_number", "language")
 
 
-def language_of_samples(samples: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def language_of_samples(samples: DataFrame, groups: DataFrame, keys: list[str], identify=None) -> DataFrame:
     """(keys, language, model_file, confidence) from lines that each script model has read.
 
     samples has model_file, ord, text and score. The model with the best mean
     score wins; the language is detected in its texts among its languages and
-    those that are always candidates.
+    those that are always candidates, by ``identify(rows, text, among)``, which adds a
+    column ``found``, or by ``detected``.
     """
     best = best_model(mean_score(samples, keys), keys)
     texts = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
     read = samples.groupBy(*keys, "model_file").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("_text"))
     rows = best.join(read, [*keys, "model_file"]).join(F.broadcast(groups), "model_file")
-    return rows.withColumn("language", detected(F.col("_text"), candidates(F.col("languages")))).select(*keys, "language", "model_file", F.col("score").alias("confidence"))
+    rows = rows.withColumn("_among", candidates(F.col("languages")))
+    rows = identify(rows, "_text", "_among") if identify else rows.withColumn("found", detected(F.col("_text"), F.col("_among")))
+    return rows.select(*keys, F.col("found").alias("language"), "model_file", F.col("score").alias("confidence"))

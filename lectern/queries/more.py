@@ -16,7 +16,7 @@ from lectern import schema
 from lectern.config import Settings
 from lectern.functions import geometry as g
 from lectern.functions import languages, pixels, polygons
-from lectern.operators import language, matching, results, validation
+from lectern.operators import language, language_model, matching, results, validation
 from lectern.plans.models import generate
 from lectern.queries.base import CELLS, LINES, PAGE_BOXES, box_columns, cells, items, lines, page_boxes, query, sql_area
 from lectern.queries.documents import _BEST, _CATALOG, _list, detect_sql
@@ -93,6 +93,10 @@ s AS (SELECT d.doc_id, d.model, list_concat(names, ['english', 'chinese']) AS am
 SELECT doc_id, CASE WHEN list_contains(among, found) THEN found ELSE among[1] END AS language, 'text_recognition_' || model || '.onnx' AS model_file, 0.875::DOUBLE AS confidence FROM s""")
 def language_of_samples(spark, sf_dir):
     """Whole texts as two lines that recognisers have read: the surest model's, among its languages."""
+    return _of_samples(spark, sf_dir)
+
+
+def _of_samples(spark, sf_dir, identify=None):
     groups = languages.model_groups(languages.catalog(languages.catalog_rows(spark)), script_only=True)
     rows = table(spark, sf_dir, "documents").where("coalesce(text, '') <> ''").select("doc_id", "text", F.expr("CASE doc_id % 3 WHEN 0 THEN 'latin' WHEN 1 THEN 'el' ELSE 'cyrillic' END").alias("sure"))
     tried = F.explode(F.array(*(F.lit(m) for m in ("latin", "el", "cyrillic", "th"))))
@@ -100,7 +104,54 @@ def language_of_samples(spark, sf_dir):
     half = F.when(F.col("ord") == 0, F.col("text"))
     score = F.expr("if(model = sure, if(ord = 0, 1.0D, 0.75D), if(ord = 0, 0.5D, null))")
     samples = rows.select("doc_id", F.concat(F.lit("text_recognition_"), "model", F.lit(".onnx")).alias("model_file"), "ord", half.alias("text"), score.alias("score"))
-    return language.language_of_samples(samples, groups, ["doc_id"])
+    return language.language_of_samples(samples, groups, ["doc_id"], identify)
+
+
+_NAMES = "CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' END"
+_LEARNED = f"""spaced AS (
+  SELECT doc_id, {_NAMES} AS language, ' ' || regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g') || ' ' AS s FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT doc_id, language, run FROM (SELECT doc_id, language, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS run FROM (SELECT *, string_split(s, '') AS c FROM spaced)) WHERE substring(run, 2, 1) <> ' '
+), counted AS (
+  SELECT language, run, count(*) AS n FROM runs WHERE language IS NOT NULL GROUP BY language, run
+), totals AS (
+  SELECT language, sum(n)::BIGINT AS total, (SELECT count(DISTINCT run) FROM counted) AS v FROM counted GROUP BY language
+), least AS (
+  SELECT *, floor(1000.0::DOUBLE * ln((0 + 0.5::DOUBLE) / (total + 0.5::DOUBLE * v)))::BIGINT AS least FROM totals
+), kept AS (
+  SELECT language, run, floor(1000.0::DOUBLE * ln((n + 0.5::DOUBLE) / (total + 0.5::DOUBLE * v)))::BIGINT - least AS over
+  FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, run) AS place FROM counted) JOIN least USING (language) WHERE place <= 2000
+), known AS (
+  SELECT doc_id, run, count(*) AS n FROM runs SEMI JOIN kept USING (run) GROUP BY doc_id, run
+), sizes AS (
+  SELECT doc_id, sum(n) AS n FROM known GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, language, sum(n * over) AS over FROM known JOIN kept USING (run) GROUP BY doc_id, language
+), learned AS (
+  SELECT doc_id, min_by(language, {{'s': -score, 'l': language}}) AS found FROM (
+    SELECT z.doc_id, l.language, z.n * l.least + coalesce(s.over, 0) AS score FROM sizes z CROSS JOIN least l LEFT JOIN sums s ON s.doc_id = z.doc_id AND s.language = l.language) GROUP BY doc_id)"""
+
+
+def _learned(spark, sf_dir):
+    """A model of all documents whose language is known."""
+    return language_model.learn(table(spark, sf_dir, "documents").select(F.expr(_NAMES).alias("language"), "text"))
+
+
+@query(f"""WITH {_LEARNED} SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN coalesce(found, 'english') END AS language, CASE WHEN coalesce(text, '') <> '' THEN 1.0::DOUBLE END AS confidence,
+  CASE WHEN coalesce(text, '') = '' THEN 'InferenceError' END AS error_kind FROM documents LEFT JOIN learned USING (doc_id)""")
+def learned_language(spark, sf_dir):
+    """The language of every text by a model that was learned from the documents' own."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.language_of_text(rows, _learned(spark, sf_dir), ["doc_id"]).select("doc_id", "language", "confidence", "error_kind")
+
+
+@query(f"""WITH {_BEST}, groups AS ({_GROUP}), {_LEARNED}, d AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'latin' WHEN 1 THEN 'el' ELSE 'cyrillic' END AS model FROM documents WHERE coalesce(text, '') <> ''),
+s AS (SELECT d.doc_id, d.model, list_concat(names, ['english', 'chinese']) AS among, found FROM d JOIN groups USING (model) LEFT JOIN learned USING (doc_id))
+SELECT doc_id, CASE WHEN list_contains(among, found) THEN found ELSE among[1] END AS language, 'text_recognition_' || model || '.onnx' AS model_file, 0.875::DOUBLE AS confidence FROM s""")
+def learned_language_of_samples(spark, sf_dir):
+    """``language_of_samples`` with the learned model."""
+    model = _learned(spark, sf_dir)
+    return _of_samples(spark, sf_dir, lambda rows, text, among: language_model.identify(rows, model, ["doc_id"], text, among))
 
 
 @query(f"WITH {_BEST} SELECT language, 'models/edge/text_recognition_' || model || '.onnx' AS model_path, 'models/' || model || '_dict.txt' AS shared_path, 'models/edge/trt_engines' AS cache, 1073741824::BIGINT AS max_file_size FROM best")

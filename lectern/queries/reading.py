@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import geometry as g
-from lectern.functions import pixels
+from lectern.functions import contours, pixels
 from lectern.operators import orientation, reading_order, recognition
+from lectern.plans import pages
 from lectern.queries.base import LINES, PAGE_BOXES, items, lines, page_boxes, query
 from lectern.sources import pdf_files
 from lectern.sources.tables import dictionary_of, table
@@ -251,3 +252,70 @@ def pdf_orientations(spark, sf_dir):
     """The main rotation of pages whose text objects have these degrees."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(((F.col("l_partkey") % 5) * 90).cast("float")).alias("rotations"))
     return pdf_files.page_orientations(rows.withColumn("page_number", F.lit(1)))
+
+
+def _widths(spark, sf_dir):
+    """Lines in batches of ten, of widths from 10 to 159, left to right or right to left."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("line"), F.expr("int(vec_id div 10)").alias("page"), F.expr("int(10 + vec_id * 37 % 150)").alias("width"), F.lit(8).alias("n_frames"), (F.col("vec_id") % 20 >= 10).alias("rtl"),
+        F.expr("int(vec_id % 50)").alias("x1"), F.expr("int(vec_id % 30)").alias("y1"),
+    )
+    rows = rows.withColumn("bounds", g.rectangle(F.col("x1"), F.col("y1"), F.col("x1") + F.col("width"), F.col("y1") + 24))
+    return recognition.with_frames_read(rows, ["page"])
+
+
+_SHARES = """widths AS (
+  SELECT vec_id AS line, vec_id // 10 AS page, (10 + vec_id * 37 % 150)::INT AS width, vec_id % 20 >= 10 AS rtl, (vec_id % 50)::INT AS box_x, (vec_id % 30)::INT AS box_y FROM embeddings
+), shares AS (
+  SELECT *, ceil(8::FLOAT * (width::DOUBLE / max(width) OVER (PARTITION BY page))::FLOAT)::INT AS frames_read FROM widths
+), scored AS (
+  SELECT vec_id AS line, t::INT AS t, frames_read, embedding[t * 8 + 1 : t * 8 + CASE WHEN t = 7 THEN 7 ELSE 8 END] AS s FROM embeddings JOIN shares ON vec_id = line, range(8) r(t) WHERE t < frames_read
+), best AS (
+  SELECT line, t, frames_read, list_max(s) AS score, (len(s) - list_position(list_reverse(s), list_max(s)))::INT AS best FROM scored
+), kept AS (
+  SELECT *, coalesce(best <> lag(best) OVER (PARTITION BY line ORDER BY t), true) AND best > 0 AND best < 8 AS kept FROM best
+), chars AS (
+  SELECT line, t, frames_read, score, best, CASE best WHEN 7 THEN ' ' ELSE chr(96 + best) END AS c FROM kept WHERE kept)"""
+_SIX = [*_LETTERS, "f"]
+
+
+@query(f"""WITH {_SHARES} SELECT s.line, s.frames_read, coalesce(string_agg(c, '' ORDER BY t), '') AS text, round(coalesce(avg(score::DOUBLE), 0), 5) AS text_score
+FROM shares s LEFT JOIN chars USING (line) GROUP BY s.line, s.frames_read""")
+def frames_read_lines(spark, sf_dir):
+    """Lines of batches read as far as their share of the widest line goes; the widest lose the last frame's space."""
+    lines_ = _widths(spark, sf_dir)
+    rows = recognition.decode_lines(recognition.frames_within(frames(spark, sf_dir), lines_, ["line"]), dictionary_of(spark, _SIX), ["line"], 8)
+    return rows.join(lines_.select("line", "frames_read"), "line").select("line", "frames_read", "text", F.round("text_score", 5).alias("text_score"))
+
+
+@query(f"""WITH {_SHARES}, worded AS (SELECT *, sum(CASE WHEN c = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY t) AS word FROM chars), ends AS (SELECT line, word - 1 AS word, t - 1 AS e FROM worded WHERE c = ' '),
+words AS (SELECT w.line, w.word::INT AS word, string_agg(c, '' ORDER BY t) AS text, min(t) AS s, coalesce(min(e), max(w.frames_read) - 1)::INT AS e, max(w.frames_read) AS n FROM worded w LEFT JOIN ends USING (line, word) WHERE c <> ' ' GROUP BY w.line, w.word),
+placed AS (SELECT w.*, b.width, b.rtl, b.box_x, b.box_y, (s::DOUBLE / n)::FLOAT AS a, ((e + 1)::DOUBLE / n)::FLOAT AS z FROM words w JOIN widths b ON w.line = b.line)
+SELECT line, word, text, box_x + trunc(width * CASE WHEN rtl THEN 1::FLOAT - z ELSE a END)::INT AS x1, box_x + trunc(width * CASE WHEN rtl THEN 1::FLOAT - a ELSE z END)::INT AS x2, box_y AS y1, box_y + 24 AS y2 FROM placed""")
+def word_boxes_of_both_directions(spark, sf_dir):
+    """Words of lines that run from the left or the right, cut from the lines' boxes by the frames that were read."""
+    lines_ = _widths(spark, sf_dir)
+    words = recognition.decode_words(recognition.frames_within(frames(spark, sf_dir), lines_, ["line"]), dictionary_of(spark, _SIX), ["line"], 8)
+    rows = words.join(lines_.select("line", "bounds", "frames_read", "rtl"), "line")
+    b = g.word_box(F.col("bounds"), F.col("start"), F.col("end"), F.col("frames_read"), F.col("rtl"))
+    return rows.withColumn("b", b).select("line", "word", "text", g.left(F.col("b")).alias("x1"), g.right(F.col("b")).alias("x2"), g.top(F.col("b")).alias("y1"), g.bottom(F.col("b")).alias("y2"))
+
+
+@query("""WITH RECURSIVE grid AS (
+  SELECT vec_id, p::INT AS p, coalesce(p // 10 BETWEEN 1 AND 8 AND p % 10 BETWEEN 1 AND 8 AND embedding[(p // 10 - 1) * 8 + p % 10] > 0.05::FLOAT, false) AS lit FROM embeddings, range(100) r(p)
+), reached AS (
+  SELECT vec_id, lit, p AS first, p AS p FROM grid
+  UNION
+  SELECT r.vec_id, r.lit, r.first, n.p FROM reached r JOIN grid n ON n.vec_id = r.vec_id AND n.lit = r.lit AND (abs(n.p - r.p) IN (1, 10) OR (r.lit AND abs(n.p - r.p) IN (9, 11)))
+), areas AS (
+  SELECT vec_id, lit, p, min(first) AS area FROM reached GROUP BY vec_id, lit, p
+), meets AS (
+  SELECT DISTINCT a.vec_id, a.area AS inside, b.area AS around, (a.p // 10 - 1) * 8 + a.p % 10 - 1 AS pixel FROM areas a JOIN areas b ON a.vec_id = b.vec_id AND a.lit AND NOT b.lit AND abs(a.p - b.p) IN (1, 10)
+), found AS (
+  SELECT vec_id, around > inside AS hole, CASE WHEN around > inside THEN around % 10 - 2 ELSE inside % 10 - 1 END AS start_x, CASE WHEN around > inside THEN around // 10 - 1 ELSE inside // 10 - 1 END AS start_y,
+         count(*)::INT AS n_pixels, string_agg(pixel::VARCHAR, ',' ORDER BY pixel) AS pixels FROM meets GROUP BY vec_id, inside, around)
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY start_y, start_x) - 1)::INT AS contour, hole, start_x, start_y, n_pixels, pixels FROM found""")
+def map_contours(spark, sf_dir):
+    """Borders of lit areas and of their holes, of each vector as a map of 8 x 8."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), F.transform("embedding", lambda v: v > F.lit(0.05).cast("float")).alias("lit"))
+    return contours.map_contours(rows, ["vec_id"], pages.MAX_CONTOURS).withColumn("pixels", F.array_join("pixels", ","))

@@ -1,7 +1,10 @@
 import base64
 import io
 import json
+import math
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern import schema
 from lectern.config import ConfigError, Settings
 from lectern.functions import languages
-from lectern.operators import language, questions, results, validation
+from lectern.operators import language, language_model, questions, results, validation
 from lectern.plans import analysis
 from lectern.plans.models import generate
 from lectern.sources import office_files, pdf_files, text_files
@@ -209,3 +212,47 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = streaming.file_stream(spark, str(tmp_path / "in"), 2)
     streaming.run_available(stream, lambda rows: text_files.text_pages(rows), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"text {k}" for k in range(5)]
+
+
+def plain_runs(text):
+    letters = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+    return [letters[i : i + 3] for i in range(len(letters) - 2) if letters[i + 1] != " "]
+
+
+def test_runs_of_letters(spark):
+    texts = ["Ab, c", "", " ", "é1ü", "x" * 5, "Das Öl"]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", language_model.runs(F.col("t")).alias("r")).collect()
+    assert {r["k"]: r["r"] for r in found} == {k: plain_runs(t) for k, t in enumerate(texts)}
+
+
+def test_learned_languages_by_plain_python(spark):
+    known = [("a", "abab abba"), ("a", "baba"), ("b", "xyxy xyyx yx"), ("c", "abxy"), (None, "zzz"), ("d", None), ("e", "")]
+    asked = [(1, "abba xy"), (2, "yxyx"), (3, "qqq"), (4, None), (5, ""), (6, "AB ba"), (7, "abxy")]
+    keep = 4
+    counts = {x: Counter() for x in "abc"}
+    for name, text in known:
+        if name in counts and text:
+            counts[name].update(plain_runs(text))
+    v = len(set().union(*counts.values()))
+    score = lambda name, n: math.floor(1000 * math.log((n + 0.5) / (sum(counts[name].values()) + 0.5 * v)))
+    kept = {name: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:keep]) for name, c in counts.items()}
+    expected = {}
+    for k, text in asked:
+        own = [r for r in plain_runs(text or "") if any(r in c for c in kept.values())]
+        totals = {name: sum(score(name, kept[name].get(r, 0)) for r in own) for name in "abc"}
+        expected[k] = min("abc", key=lambda name: (-totals[name], name)) if own else None
+    model = language_model.learn(spark.createDataFrame(known, "language string, text string"), keep=keep)
+    rows = spark.createDataFrame(asked, "k int, text string").withColumn("among", F.array(F.lit("b"), F.lit("z")))
+    assert {r["k"]: r["found"] for r in language_model.identify(rows, model, ["k"]).collect()} == expected
+    assert {r["k"]: r["found"] for r in language_model.identify(rows, model, ["k"], among="among").collect()} == {k: "b" for k in expected}
+    nothing = language_model.learn(spark.createDataFrame([], "language string, text string"))
+    assert {r["found"] for r in language_model.identify(rows, nothing, ["k"]).collect()} == {None}
+    found = {r["k"]: (r["language"], r["error_kind"]) for r in language_model.language_of_text(rows, model, ["k"]).collect()}
+    assert found[3] == ("english", None) and found[4] == found[5] == (None, "InferenceError")
+
+
+def test_learned_languages_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("lang").alias("language"), "text").where("lang is not null")
+    model = language_model.learn(docs.where("doc_id % 3 <> 1"))
+    rows = language_model.identify(docs.where("doc_id % 3 = 1 and text rlike '[a-z]'"), model, ["doc_id"]).select("language", "found").collect()
+    assert len(rows) > 250 and sum(r["language"] == r["found"] for r in rows) / len(rows) >= 0.95
