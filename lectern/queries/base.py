@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
 from lectern.sources.tables import table
+from lectern.storage import checkpointed, removed, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +27,19 @@ def query(sql: str | None = None):
     return keep
 
 
+def work_folder(spark) -> str:
+    """A new folder below the shared one, for what a query writes and reads again."""
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+def kept(spark, df: DataFrame, *folders: str) -> DataFrame:
+    """df apart from the folders that it was read from, which go."""
+    out = checkpointed(df)
+    for folder in folders:
+        removed(spark, folder)
+    return out
+
+
 def _boxes(rows: DataFrame, x1: str, y1: str, width: str, height: str) -> DataFrame:
     return rows.withColumn("x1", F.expr(x1).cast("int")).withColumn("y1", F.expr(y1).cast("int")).withColumn("x2", F.expr(f"x1 + {width}").cast("int")).withColumn("y2", F.expr(f"y1 + {height}").cast("int"))
 

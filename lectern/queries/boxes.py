@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
@@ -40,9 +42,10 @@ def pairwise_iou(spark, sf_dir):
     return pairs.select("page", "a", "b", g.iou(p, q).cast("double").alias("iou"), g.overlap(p, q).cast("double").alias("overlap"))
 
 
-@query()
+@query(f"""WITH {PAGE_BOXES}, s AS (SELECT page, ord, x2 - x1 AS w, y2 - y1 AS h FROM page_boxes)
+SELECT page, ord, round(CAST((w * h - 2 * (h - 3) - 3 * (w - 2))::DOUBLE / (w * h) AS FLOAT)::DOUBLE, 6) AS iou FROM s""")
 def quad_iou(spark, sf_dir):
-    """IoU of a box and a slanted copy: needs polygon clipping."""
+    """IoU of a box and a slanted one whose corners lie on its sides: what four triangles leave of it, by polygon clipping."""
     rows = bounds_of(page_boxes(spark, sf_dir))
     slanted = F.array(*(g.point(F.col("bounds")[i]["x"] + dx, F.col("bounds")[i]["y"] + dy) for i, (dx, dy) in enumerate(((2, 0), (0, 3), (-2, 0), (0, -3)))))
     return rows.select("page", "ord", F.round(polygons.quad_iou_udf("bounds", slanted).cast("double"), 6).alias("iou"))
@@ -71,6 +74,30 @@ def expansion_distance(spark, sf_dir):
     return bounds_of(page_boxes(spark, sf_dir)).select("page", "ord", F.round(g.expansion_distance(F.col("bounds"), 1.6), 6).alias("distance"))
 
 
+def _ring(value: str) -> str:
+    """SQL of a coordinate, rounded away from zero."""
+    return f"(sign({value}) * floor(abs({value}) + 0.5::DOUBLE))::INT"
+
+
+@query(f"""WITH {PAGE_BOXES}, d AS (SELECT *, ((x2 - x1) * (y2 - y1)) * 1.6::DOUBLE / (2 * (x2 - x1 + y2 - y1)) AS d FROM page_boxes)
+SELECT page, ord, {_ring('x1 - d')} AS x1, {_ring('y1 - d')} AS y1, {_ring('x2 + d')} AS x2, {_ring('y2 + d')} AS y2, true AS around FROM d""")
+def expanded_rings(spark, sf_dir):
+    """Boxes pushed outwards with round corners: the ring's extent, and whether all its points are as far out as they should be."""
+
+    @F.pandas_udf("x1 int, y1 int, x2 int, y2 int, around boolean")
+    def ring(boxes: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for x1, y1, x2, y2 in boxes.itertuples(index=False):
+            points = polygons.expand(np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)]), 1.6)
+            d = (x2 - x1) * (y2 - y1) * 1.6 / (2 * (x2 - x1 + y2 - y1))
+            out = np.hypot(np.maximum(np.maximum(x1 - points[:, 0], points[:, 0] - x2), 0), np.maximum(np.maximum(y1 - points[:, 1], points[:, 1] - y2), 0))
+            rows.append((*points.min(axis=0), *points.max(axis=0), bool((abs(out - d) <= 0.75).all())))
+        return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "around"])
+
+    rows = page_boxes(spark, sf_dir).select("page", "ord", ring(F.struct(*box_columns())).alias("r"))
+    return rows.select("page", "ord", "r.*")
+
+
 @query(f"""WITH {PAGE_BOXES}
 SELECT page, ord,
   trunc(least(greatest((x1 * (960::DOUBLE / 960) - 3) * (1900::DOUBLE / 953), 0), 1899))::INT AS x,

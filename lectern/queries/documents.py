@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import languages
 from lectern.operators import language, questions, results, validation
 from lectern.plans import analysis, pages
-from lectern.queries.base import LINES, lines, page_boxes, query
+from lectern.queries.base import LINES, kept, lines, page_boxes, query, work_folder
 from lectern.sources import text_files
 from lectern.sources.tables import table
-from lectern.storage import shared_folder
 from lectern.streaming import documents as streaming
 
 
@@ -263,7 +260,7 @@ def layout_classes(spark, sf_dir):
 @query("SELECT event_id AS doc_id, 1 AS page_number, event_type || ' ' || user_id AS text FROM events")
 def stream_pages(spark, sf_dir):
     """events as a stream of text documents, through the batch loader."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark)
     stream = streaming.table_stream(spark, sf_dir, "events.parquet")
 
     def pages_of(batch):
@@ -271,4 +268,4 @@ def stream_pages(spark, sf_dir):
         return text_files.text_pages(rows).select("doc_id", "page_number", "text")
 
     streaming.run_available(stream, pages_of, f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, spark.read.parquet(f"{folder}/out").drop("batch"), folder)

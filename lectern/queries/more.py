@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -15,19 +14,14 @@ from pyspark.sql import types as T
 from lectern import schema
 from lectern.config import Settings
 from lectern.functions import geometry as g
-from lectern.functions import languages, pixels, polygons
+from lectern.functions import languages, maps, pixels
 from lectern.operators import language, language_model, matching, results, validation
 from lectern.plans.models import generate
-from lectern.queries.base import CELLS, LINES, PAGE_BOXES, box_columns, cells, items, lines, page_boxes, query, sql_area
+from lectern.queries.base import CELLS, LINES, PAGE_BOXES, box_columns, cells, items, kept, lines, page_boxes, query, sql_area, work_folder
 from lectern.queries.documents import _BEST, _CATALOG, _list, detect_sql
 from lectern.queries.files import _LI, _W, _files, _zip
 from lectern.sources import office_files, tables
 from lectern.sources.tables import table
-from lectern.storage import shared_folder
-
-
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 @query("""SELECT conv_id * 1000 + turn AS doc_id, 'f' || turn || '.txt' AS filename, coalesce(text, '') AS content, role AS process_id, NULL::VARCHAR AS language, 2 AS n_questions FROM conversations""")
@@ -37,37 +31,37 @@ def decoded_requests(spark, sf_dir):
         F.expr("conv_id * 1000 + turn").alias("doc_id"), F.expr("concat('f', turn, '.txt')").alias("filename"), F.base64(F.coalesce("text", F.lit("")).cast("binary")).alias("data"),
         F.col("role").alias("process_id"), F.array(F.lit("a"), F.lit("b")).alias("questions"),
     )
-    rows.write.json(path := _folder(spark))
-    read = tables.read_requests(spark, path)
-    return read.select("doc_id", "filename", validation.decoded(F.col("data")).cast("string").alias("content"), "process_id", "language", F.size("questions").alias("n_questions"))
+    rows.write.json(path := work_folder(spark))
+    read = tables.read_requests(spark, path).select("doc_id", "filename", validation.decoded(F.col("data")).cast("string").alias("content"), "process_id", "language", F.size("questions").alias("n_questions"))
+    return kept(spark, read, path)
 
 
 @query("SELECT n_nationkey::INT + 1 AS \"index\", n_name AS character FROM nation UNION ALL SELECT 0, '#' UNION ALL SELECT (SELECT count(*) FROM nation)::INT + 1, ' '")
 def dictionary_file(spark, sf_dir):
     """A character dictionary from its file: names of nations as entries, a line each."""
     names = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name")
-    names.coalesce(1).write.text(path := _folder(spark))
-    return tables.character_dictionary(spark, path)
+    names.coalesce(1).write.text(path := work_folder(spark))
+    return kept(spark, tables.character_dictionary(spark, path), path)
 
 
 def _catalog_file(spark) -> str:
     """The models as a catalog file, one language for each of their names; the first entry of a language counts."""
     best = languages.catalog(languages.catalog_rows(spark)).collect()
     entries = {r["language"]: {"name": r["language"], "model_file": r["model_file"], "dict_file": r["dict_file"], "is_script_model": r["is_script_model"], "directionality": r["directionality"]} for r in best}
-    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(path := _folder(spark))
+    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(path := work_folder(spark))
     return path
 
 
 @query(f"WITH {_BEST} SELECT language, 'models/edge/text_recognition_' || model || '.onnx' AS model_file, 'models/edge/' || model || '_dict.txt' AS dict_file, script AS is_script_model, directionality FROM best")
 def catalog_file(spark, sf_dir):
     """A catalog read from its JSON file, with paths."""
-    return languages.read_catalog(spark, _catalog_file(spark), "models/edge")
+    return kept(spark, languages.read_catalog(spark, path := _catalog_file(spark), "models/edge"), path)
 
 
 @query(f"""WITH {_BEST} SELECT 'text_recognition_' || model || '.onnx' AS model_file, min(model || '_dict.txt') AS dict_file, bool_and(script) AS is_script_model, min(directionality) AS directionality FROM best GROUP BY model""")
 def model_info(spark, sf_dir):
     """What all languages of a model file share."""
-    return languages.model_info(languages.read_catalog(spark, _catalog_file(spark)))
+    return kept(spark, languages.model_info(languages.read_catalog(spark, path := _catalog_file(spark))), path)
 
 
 @query(f"""WITH {_BEST} SELECT 'text_recognition_' || model || '.onnx' AS model_file,
@@ -220,16 +214,36 @@ def table_boxes(spark, sf_dir):
 SELECT vec_id, round(avg(e[y * 8 + x + 1]::DOUBLE), 5) AS score FROM p, range(8) r(y), range(8) s(x) WHERE x BETWEEN a AND a + 3 AND y BETWEEN b AND b + 4 GROUP BY vec_id""")
 def mean_inside_box(spark, sf_dir):
     """Mean score of the map's pixels in or on a box."""
-
-    @F.pandas_udf("double")
-    def mean(keys: pd.Series, values: pd.Series) -> pd.Series:
-        def one(k, v):
-            x, y = k % 4, k % 3
-            return polygons.mean_inside(np.array([(x, y), (x + 3, y), (x + 3, y + 4), (x, y + 4)], float), np.array(v, float).reshape(8, 8))
-
-        return pd.Series([one(k, v) for k, v in zip(keys, values, strict=True)])
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(mean("vec_id", "embedding"), 5).alias("score"))
+    x, y = F.expr("int(vec_id % 4)"), F.expr("int(vec_id % 3)")
+    score = maps.mean_inside(F.col("embedding"), 8, g.rectangle(x, y, x + 3, y + 4))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(score, 5).alias("score"))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding AS e, (1 + vec_id % 6)::INT AS a, (1 + vec_id % 5)::INT AS b, (1 + vec_id % 4)::INT AS r FROM embeddings)
+SELECT vec_id, round(avg(e[y * 8 + x + 1]::DOUBLE), 5) AS score FROM p, range(8) s(y), range(8) t(x) WHERE abs(x - a) + abs(y - b) <= r GROUP BY vec_id""")
+def mean_inside_slanted(spark, sf_dir):
+    """Mean score of the map's pixels in or on a square that stands on a corner and may reach over the map's edge."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("int(1 + vec_id % 6)").alias("a"), F.expr("int(1 + vec_id % 5)").alias("b"))
+    corners = _diamond(rows, "corners", "a", "b", "int(1 + vec_id % 4)")
+    return corners.select("vec_id", F.round(maps.mean_inside(F.col("embedding"), 8, F.col("corners")), 5).alias("score"))
+
+
+@query(f"""WITH {PAGE_BOXES} SELECT page, ord, '[{{"x":' || x1 || ',"y":' || y1 || '}},{{"x":' || x2 || ',"y":' || y1 || '}},{{"x":' || x2 || ',"y":' || y2 || '}},{{"x":' || x1 || ',"y":' || y2 || '}}]' AS json, true AS same FROM page_boxes""")
+def bounds_written(spark, sf_dir):
+    """Bounds as JSON, and whether they are read back as they were."""
+    rows = page_boxes(spark, sf_dir).withColumn("b", g.rectangle(*box_columns()))
+    json_ = results.bounds_json(F.col("b"))
+    return rows.select("page", "ord", json_.alias("json"), (results.read_bounds(json_) == F.col("b")).alias("same"))
+
+
+@query(f"""WITH {PAGE_BOXES} SELECT page, ord, x1 - 7 AS x1, y1 + 11 AS y1, x2 - 7 AS x2, y2 + 11 AS y2, x2 - 7 AS third_x, 0 AS zero, ord % 3 <> 0 AS valid FROM page_boxes""")
+def bounds_moved(spark, sf_dir):
+    """Boxes moved point by point, a point by its place, the empty box, and which lists of points are boxes."""
+    b, moved = g.rectangle(*box_columns()), F.col("moved")
+    rows = page_boxes(spark, sf_dir).withColumn("moved", g.translated(b, F.lit(-7), F.lit(11)))
+    points = F.when(F.col("ord") % 3 == 0, F.slice("moved", 1, 3)).otherwise(moved)
+    zero = F.aggregate(F.transform(g.zero_bounds(), lambda p: p["x"] + p["y"]), F.lit(0), lambda s, v: s + v)
+    return rows.select("page", "ord", *g.extent(moved), moved[2]["x"].alias("third_x"), zero.alias("zero"), g.valid_bounds(points).alias("valid"))
 
 
 @query("""WITH s AS (SELECT vec_id, t, (8 - list_position(list_reverse(embedding[t * 8 + 1 : t * 8 + 8]), list_max(embedding[t * 8 + 1 : t * 8 + 8])))::INT AS token FROM embeddings, range(8) r(t)),

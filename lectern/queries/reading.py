@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions import geometry as g
-from lectern.functions import contours, pixels
+from lectern.functions import contours, maps, pixels
 from lectern.operators import orientation, reading_order, recognition
 from lectern.plans import pages
 from lectern.queries.base import LINES, PAGE_BOXES, items, lines, page_boxes, query
@@ -192,28 +189,16 @@ def classifier_choices(spark, sf_dir):
 SELECT vec_id, i, round(v * n - m * n, 4) AS value FROM (SELECT *, CASE i % 3 WHEN 0 THEN 50 WHEN 1 THEN 25 ELSE 0 END AS m, CASE i % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 0.5 END::DOUBLE AS n FROM p)""")
 def normalize_pixels(spark, sf_dir):
     """Four RGB pixels of each vector, as the models get them."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scaled(values: pd.Series) -> pd.Series:
-        def one(v):
-            image = np.array(v, np.uint8).reshape(2, 2, 3)
-            return pixels.normalise(image, (50, 25, 0), (1, 2, 0.5))[0].transpose(1, 2, 0).ravel().astype(float).tolist()
-
-        return values.map(one)
-
     raw = F.transform(F.slice("embedding", 1, 12), lambda x: F.abs((x * 100).cast("int")) % 256)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scaled(raw)).alias("i", "value"))
-    return rows.select("vec_id", "i", F.round("value", 4).alias("value"))
+    scaled = maps.normalised(raw, (50, 25, 0), (1, 2, 0.5))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scaled).alias("i", "value"))
+    return rows.select("vec_id", "i", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("""WITH p AS (SELECT vec_id, (i // 8)::INT AS y, (i % 8)::INT AS x, embedding[i + 1] > 0.3::FLOAT AS o FROM embeddings, range(64) r(i))
 SELECT a.vec_id, a.y, a.x, bool_or(b.o) AS lit FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.y, a.x""")
 def binarize_map(spark, sf_dir):
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def mapped(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: pixels.binary_map(np.array(v, np.float32).reshape(8, 8), np.float32(0.3)).ravel().tolist())
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(mapped("embedding")).alias("i", "lit"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(maps.lit_nearby(F.col("embedding"), 8, 0.3)).alias("i", "lit"))
     return rows.select("vec_id", F.expr("int(i div 8)").alias("y"), F.expr("int(i % 8)").alias("x"), "lit")
 
 

@@ -6,8 +6,6 @@ files, and read back by name.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,28 +13,15 @@ from pyspark.sql import types as T
 
 from lectern.functions import table_functions
 from lectern.operators import results
-from lectern.queries.base import query
+from lectern.queries.base import kept, query, work_folder
 from lectern.queries.documents import _results
 from lectern.queries.files import make_docx, make_xlsx
 from lectern.sources import data_sources, office_files
 from lectern.sources.tables import table
-from lectern.storage import checkpointed, removed, shared_folder
 from lectern.streaming import documents as streaming
 from lectern.streaming import languages
 
 
-def _kept(spark, df: DataFrame, *folders: str) -> DataFrame:
-    """df apart from the folders that it was read from, which go."""
-    out = checkpointed(df)
-    for folder in folders:
-        removed(spark, folder)
-    return out
-
-
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
-
-
 def _parts(spark, sf_dir) -> DataFrame:
     """(doc_id, rows): a supplier's items in order."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -57,7 +42,7 @@ def _as_files(spark, contents: DataFrame, suffix: str) -> str:
     """A folder with a file for each document, named by its id."""
     data_sources.register(spark)
     named = contents.select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("filename"), "content")
-    named.write.format("lectern-files").mode("append").save(folder := _folder(spark))
+    named.write.format("lectern-files").mode("append").save(folder := work_folder(spark))
     return folder
 
 
@@ -82,14 +67,14 @@ def docx_source(spark, sf_dir):
     """Word-processor files by ``lectern-docx``."""
     folder = _as_files(spark, _contents(spark, sf_dir, make_docx), ".docx")
     blocks = _by_name(spark.read.format("lectern-docx").load(folder))
-    return _kept(spark, office_files.word_pages(blocks).select("doc_id", "page_number", "text"), folder)
+    return kept(spark, office_files.word_pages(blocks).select("doc_id", "page_number", "text"), folder)
 
 
 @query(_SHEETS)
 def xlsx_source(spark, sf_dir):
     """Spreadsheets by ``lectern-xlsx``."""
     folder = _as_files(spark, _contents(spark, sf_dir, make_xlsx), ".xlsx")
-    return _kept(spark, _by_name(spark.read.format("lectern-xlsx").load(folder)).select("doc_id", "page_number", "text"), folder)
+    return kept(spark, _by_name(spark.read.format("lectern-xlsx").load(folder)).select("doc_id", "page_number", "text"), folder)
 
 
 @query(f"WITH {_LI} SELECT doc_id, 1 AS page_number, string_agg(n || ',' || part, chr(10) ORDER BY n) AS text FROM li GROUP BY doc_id")
@@ -98,7 +83,7 @@ def csv_source(spark, sf_dir):
     lines = F.transform("rows", lambda r: F.concat_ws(",", r["n"].cast("string"), F.concat(F.lit('"'), r["part"].cast("string"), F.lit('"'))))
     text = F.array_join(F.concat(F.array(F.lit("n,part"), F.lit("a,b,c")), lines), "\n")
     folder = _as_files(spark, _parts(spark, sf_dir).select("doc_id", text.cast("binary").alias("content")), ".csv")
-    return _kept(spark, _by_name(spark.read.format("lectern-csv").load(folder)).select("doc_id", "page_number", "text"), folder)
+    return kept(spark, _by_name(spark.read.format("lectern-csv").load(folder)).select("doc_id", "page_number", "text"), folder)
 
 
 @query(f"""WITH {_LI} SELECT doc_id, n AS "index", part::VARCHAR AS character FROM li UNION ALL SELECT DISTINCT doc_id, 0, '#' FROM li UNION ALL SELECT doc_id, count(*)::INT + 1, ' ' FROM li GROUP BY doc_id""")
@@ -106,16 +91,16 @@ def dictionary_source(spark, sf_dir):
     """Character dictionaries by ``lectern-dictionary``: a part's number stands for a character."""
     text = F.array_join(F.transform("rows", lambda r: r["part"].cast("string")), "\n")
     folder = _as_files(spark, _parts(spark, sf_dir).select("doc_id", text.cast("binary").alias("content")), ".txt")
-    return _kept(spark, _by_name(spark.read.format("lectern-dictionary").load(folder)).select("doc_id", "index", "character"), folder)
+    return kept(spark, _by_name(spark.read.format("lectern-dictionary").load(folder)).select("doc_id", "index", "character"), folder)
 
 
 @query(_PAGES)
 def docx_stream(spark, sf_dir):
     """The same files as a stream of ``lectern-docx``, pages built from what has come."""
-    folder, work = _as_files(spark, _contents(spark, sf_dir, make_docx), ".docx"), _folder(spark)
+    folder, work = _as_files(spark, _contents(spark, sf_dir, make_docx), ".docx"), work_folder(spark)
     stream = spark.readStream.format("lectern-docx").load(folder)
     streaming.run_available(stream, lambda blocks: office_files.word_pages(_by_name(blocks)), f"{work}/out", f"{work}/state")
-    return _kept(spark, spark.read.parquet(f"{work}/out").select("doc_id", "page_number", "text"), folder, work)
+    return kept(spark, spark.read.parquet(f"{work}/out").select("doc_id", "page_number", "text"), folder, work)
 
 
 @query(_CELLS)
@@ -148,21 +133,21 @@ def excel_pages_sql(spark, sf_dir):
 def written_results(spark, sf_dir):
     """Results written through the staged sink, twice under one job id, and read back."""
     data_sources.register(spark)
-    folder, rows = _folder(spark), results.result_json(_results(spark, sf_dir))
+    folder, rows = work_folder(spark), results.result_json(_results(spark, sf_dir))
     for _ in range(2):  # a job that is run again adds nothing
         rows.write.format("lectern-results").option("jobId", "documents").mode("append").save(folder)
     value = lambda path: F.get_json_object("body", path)
     read = spark.read.format("lectern-results").load(folder)
-    return _kept(spark, read.select("doc_id", "status", value("$.result.content").alias("content"), value("$.status").alias("state")), folder)
+    return kept(spark, read.select("doc_id", "status", value("$.result.content").alias("content"), value("$.status").alias("state")), folder)
 
 
 @query("""SELECT conv_id AS doc_id, turn::INT AS page_number, CASE WHEN conv_id % 4 = 0 THEN 'french' ELSE first_value(CASE WHEN turn % 3 = 2 THEN 'lang' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END AS language FROM conversations""")
 def stream_document_language(spark, sf_dir):
     """``document_language`` of a stream: pages in any order, the language kept as a document's state."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     pages = streaming.table_stream(spark, sf_dir, "conversations.parquet").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), F.expr("if(conv_id % 4 = 0, 'french', null)").alias("requested"), F.expr("if(turn % 3 = 2, concat('lang', turn), null)").alias("found")
     )
     found = languages.page_languages(pages, first_page=0).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     found.trigger(availableNow=True).start().awaitTermination()
-    return _kept(spark, spark.read.parquet(f"{folder}/out"), folder)
+    return kept(spark, spark.read.parquet(f"{folder}/out"), folder)

@@ -17,12 +17,6 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.REQUESTS).json(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, filename, content) of the files under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-
-
 def character_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(index, character) of a dictionary file, a character a line, as one file.
 
