@@ -7,13 +7,13 @@ class - a frequent word, the end, or one of the rare words' classes, which are
 told apart by their endings - from the two tokens before it; a rare word's share
 of its class comes from its count.
 
-One pass over all training texts counts the pairs of classes at distance one and
-two and draws tokens by hash, each with the two before it, from every text at the
-same rate. Noise-contrastive estimation on the drawn tokens gives the model's
-start. The model is then moved to the pair counts of all texts: the likelihood of
-a log-bilinear model of the whole corpus depends on nothing else, so that its
-exact gradient is a few matrix products and the driver holds classes, not
-documents.
+One pass over all training texts trains the model by noise-contrastive estimation
+where the tokens are: each task goes over every token of its part, from one common
+start, and the tasks' parameters are averaged by their tokens. The same pass counts
+the pairs of classes at distance one and two, and the averaged model is then moved
+to the pair counts of all texts: the likelihood of a log-bilinear model of the whole
+corpus depends on nothing else, so that its exact gradient is a few matrix products
+and the driver holds classes, not documents.
 
 Scores are normalised: with S1 and S2 the scores that the two context words
 give each class, the normaliser of every context pair is one matrix product,
@@ -37,9 +37,8 @@ from lectern.llm.common import bounded_batches, byte_lists, checkpointed, remain
 HEAD, CLASSES, ENDINGS = 150_000, 768, 256
 #: Bytes at a word's end that tell its class.
 ENDING = 2
-#: Training tokens that the neural model starts from, about; it then learns from all.
-SAMPLE_TOKENS = 700_000
-WIDTH, NOISE, BATCH, EPOCHS, RATE = 32, 400, 2048, 3, 0.06
+#: Noise-contrastive estimation: width of the vectors, classes of noise a batch, tokens a batch, rate.
+WIDTH, NOISE, BATCH, RATE = 32, 16, 16_384, 0.06
 #: Gradient steps over the pair counts of all texts, how far they move, and what holds weights back where pairs are few.
 STEPS, STEP_RATE, PENALTY = 150, 0.03, 30.0
 #: The end token's word in tables of counts: words never hold a space.
@@ -75,66 +74,81 @@ def normalised(context: np.ndarray, target: np.ndarray, turn: np.ndarray, bias:
     return LogBilinear(first.astype(np.float32), second.astype(np.float32), (np.log(np.maximum(mass, 1e-300)) + top + top2.T).astype(np.float32))
 
 
-def _summed(n: int, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rows added up by their numbers, as (n, width)."""
-    at, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
-
-
 def before(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each, and the one before that; a text starts after two ends."""
     return np.concatenate([[END], classes[:-1]]), np.concatenate([[END, END], classes[:-2]])[: len(classes)]
 
 
-def contrasted(one: np.ndarray, two: np.ndarray, now: np.ndarray, weight: np.ndarray, counts: np.ndarray, seed: int = 3) -> tuple[np.ndarray, ...]:
-    """Context, target, turn and bias by noise-contrastive estimation over tokens with the two before each.
+class Contrast:
+    """Context, target, turn and bias by noise-contrastive estimation, batch by batch.
 
-    ``weight`` tells how often a token was drawn, ``counts`` how frequent classes are.
+    ``counts`` tell how frequent classes are; noise is drawn by them, and is the
+    same for all tokens of a batch. Equal counts and seeds start alike.
     """
-    n_classes = len(counts)
-    rng = np.random.default_rng(seed)
-    context, target = rng.normal(0, 0.1, (2, n_classes, WIDTH)).astype(np.float32)
-    turn = np.stack([np.eye(WIDTH, dtype=np.float32)] * 2)
-    noise = (counts + 1) / (counts + 1).sum()
-    bias = np.log(noise).astype(np.float32)
-    if not len(now):
-        return context, target, turn, bias
-    squares = [np.full_like(x, 1e-6) for x in (context, target, turn, bias)]
-    log_noise = np.log(NOISE * noise).astype(np.float32)
-    drawn_tokens = int(EPOCHS * min(weight.sum(), 2 * SAMPLE_TOKENS))
-    order = rng.choice(len(now), drawn_tokens, p=weight / weight.sum())
-    for k in range(0, drawn_tokens, BATCH):
-        at = order[k : k + BATCH]
-        a, b, v = one[at], two[at], now[at]
-        drawn = rng.choice(n_classes, NOISE, p=noise)
-        ca, cb = context[a], context[b]
-        q = ca @ turn[0] + cb @ turn[1]
-        good = (q * target[v]).sum(axis=1) + bias[v] - log_noise[v]
-        bad = q @ target[drawn].T + bias[drawn] - log_noise[drawn]
+
+    def __init__(self, counts: np.ndarray, batch: int = BATCH, seed: int = 3):
+        n = len(counts)
+        self.random, self.batch = np.random.default_rng(seed), batch
+        context, target = self.random.normal(0, 0.1, (2, n, WIDTH)).astype(np.float32)
+        noise = (counts + 1) / (counts + 1).sum()
+        self.own = [context, target, np.stack([np.eye(WIDTH, dtype=np.float32)] * 2), np.log(noise).astype(np.float32)]
+        self.squares = [np.full_like(x, 1e-6) for x in self.own]
+        self.up_to, self.log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
+        self.tokens = 0
+
+    def _by_class(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows added up by their classes."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out = np.zeros_like(self.own[0])
+        out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+        return out
+
+    def _step(self, one: np.ndarray, two: np.ndarray, now: np.ndarray) -> None:
+        context, target, turn, bias = self.own
+        drawn = np.minimum(np.searchsorted(self.up_to, self.random.random(NOISE)), len(bias) - 1)
+        q = (context @ turn[0])[one] + (context @ turn[1])[two]
+        its, over = target[now], bias - self.log_noise
+        good = np.einsum("ij,ij->i", q, its) + over[now]
+        bad = q @ target[drawn].T + over[drawn]
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # pull of the data
         down = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))  # push of the noise
-        gq = up[:, None] * target[v] + down @ target[drawn]
-        gt = _summed(n_classes, (v, up[:, None] * q), (drawn, down.T @ q))
-        gb = np.bincount(v, up, n_classes) + np.bincount(drawn, down.sum(axis=0), n_classes)
-        gc = _summed(n_classes, (a, gq @ turn[0].T), (b, gq @ turn[1].T))
-        gm = np.stack([ca.T @ gq, cb.T @ gq])
-        for x, g, s in zip((context, target, turn, bias), (gc, gt, gm, gb), squares, strict=True):
-            g = g.astype(np.float32) / np.float32(len(at) ** 0.5)
+        gq = its * up[:, None] + down @ target[drawn]
+        gt = self._by_class(now, up[:, None] * q)
+        np.add.at(gt, drawn, down.T @ q)
+        gb = np.bincount(now, up, len(bias)) + np.bincount(drawn, down.sum(axis=0), len(bias))
+        g1, g2 = self._by_class(one, gq), self._by_class(two, gq)
+        grads = (g1 @ turn[0].T + g2 @ turn[1].T, gt, np.stack([context.T @ g1, context.T @ g2]), gb)
+        for x, g, s in zip(self.own, grads, self.squares, strict=True):
+            g = g.astype(np.float32) / np.float32(len(now) ** 0.5)
             s += g * g
             x += np.float32(RATE) * g / np.sqrt(s)
-    return context, target, turn, bias
 
+    def learn(self, one: np.ndarray, two: np.ndarray, now: np.ndarray) -> None:
+        """From every token, with the two classes before each."""
+        one, two, now = (x.astype(np.uint16 if len(self.up_to) < 1 << 16 else np.int64) for x in (one, two, now))  # short numbers are sorted fast
+        for k in range(0, len(now), self.batch):
+            self._step(one[k : k + self.batch], two[k : k + self.batch], now[k : k + self.batch])
+        self.tokens += len(now)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.own]).astype(np.float64)
 
-def train(texts: list[np.ndarray], n_classes: int, seed: int = 3) -> LogBilinear:
+    def shaped(self, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The parameters of a list of numbers."""
+        parts = np.split(flat, np.cumsum([x.size for x in self.own])[:-1])
+        return tuple(p.reshape(x.shape).astype(np.float32) for p, x in zip(parts, self.own, strict=True))
+
+
+def train(texts: list[np.ndarray], n_classes: int, passes: int = 1, batch: int = BATCH) -> LogBilinear:
     """Noise-contrastive estimation alone, over class sequences, each closed by END."""
     one, two = (np.concatenate(x) for x in zip(*map(before, texts), strict=True))
     now = np.concatenate(texts)
-    return normalised(*contrasted(one, two, now, np.ones(len(now)), np.bincount(now, minlength=n_classes), seed))
+    model = Contrast(np.bincount(now, minlength=n_classes), batch)
+    for _ in range(passes):
+        model.learn(one, two, now)
+    return normalised(*model.own)
 
 
 def fitted(start: tuple[np.ndarray, ...], pairs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -230,78 +244,65 @@ class Classes(dict):
         return np.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), END)
 
 
-def _drawn(raw: bytes, n: int, rate: float) -> np.ndarray:
-    """Places of a text's tokens that are drawn, by hash of text and place."""
-    seed = np.uint64(zlib.crc32(raw) * 0xD6E8FEB86659FD93 % (1 << 64))
-    mixed = (np.arange(n, dtype=np.uint64) + seed) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    return np.flatnonzero((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) < np.uint64(rate * (1 << 31)))
-
-
-def _pair_batches(batches, shared, rate, endings):
-    """(pair, n): pairs of classes and, as numbers under 0, drawn tokens with the two before."""
-    words = shared.value
-    classes = Classes(words, endings)
-    n = len(words) + 1 + endings
+def _pair_batches(batches, shared, endings):
+    """(code, value): counts of pairs of classes and, as numbers under 0, what the task has learned, times its tokens, and these."""
+    words, class_counts = shared.value
+    classes, model = Classes(words, endings), Contrast(class_counts)
+    n = len(class_counts)
     counts = np.zeros(2 * n * n, np.int64)
-    codes, drawn, held = [], [], 0
+    held, size = [], 0
 
-    def rows(pair, times):
-        for k in range(0, len(pair), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + 100_000]), pa.array(times[k : k + 100_000])], names=["pair", "n"])
+    def taken():
+        one, two, now = (np.concatenate(x) for x in zip(*held, strict=True))
+        model.learn(one, two, now)
+        return np.bincount(np.concatenate([one * n + now, (n + two) * n + now]), minlength=len(counts))
 
     for batch in batches:
         for raw in byte_lists(batch.column("text")):
             now = classes.of(tokens_of(raw))
-            one, two = before(now)
-            codes += [one * n + now, (n + two) * n + now]
-            at = _drawn(raw, len(now), rate)
-            drawn.append(-1 - ((two[at] * n + one[at]) * n + now[at]))
-            held += len(now)
-            if held > PAIR_TOKENS:
-                counts += np.bincount(np.concatenate(codes), minlength=len(counts))
-                yield from rows(*np.unique(np.concatenate(drawn), return_counts=True))
-                codes, drawn, held = [], [], 0
-    if codes:
-        counts += np.bincount(np.concatenate(codes), minlength=len(counts))
-        yield from rows(*np.unique(np.concatenate(drawn), return_counts=True))
-    found = np.flatnonzero(counts)
-    yield from rows(found, counts[found])
+            held.append((*before(now), now))
+            size += len(now)
+            if size > PAIR_TOKENS:
+                counts += taken()
+                held, size = [], 0
+    if held:
+        counts += taken()
+    if model.tokens:
+        found = np.flatnonzero(counts)
+        learned = np.append(model.flat() * model.tokens, model.tokens)
+        code, value = np.concatenate([found, -1 - np.arange(len(learned))]), np.concatenate([counts[found].astype(float), learned])
+        for k in range(0, len(code), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 100_000]), pa.array(value[k : k + 100_000])], names=["code", "value"])
 
 
 def _pack_batches(batches):
-    """One row of compressed pairs and counts, so that the driver receives few bytes and no rows of single pairs."""
-    parts = [(b.column("pair").to_numpy(), b.column("n").to_numpy()) for b in batches]
+    """One row of compressed codes and values, so that the driver receives few bytes and no rows of single numbers."""
+    parts = [(b.column("code").to_numpy(), b.column("value").to_numpy()) for b in batches]
     if parts:
-        pair, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(pair)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x[order].tobytes(), 1)], pa.binary()) for x in (pair, n)], names=["pair", "n"])
+        code, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(code)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x[order].tobytes(), 1)], pa.binary()) for x in (code, value)], names=["code", "value"])
 
 
-def pair_counts(docs: DataFrame, words: list[bytes], rate: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """(distance - 1, class, class that follows) over all tokens of docs, and drawn tokens.
+def contrasted(docs: DataFrame, words: list[bytes], class_counts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(pairs, parameters): counts of (distance - 1, class, class that follows), and the model, of all tokens of docs.
 
-    ``words`` are the classes of their own; ``rate`` is the share of tokens to
-    draw. These come as the class before, the one before that, the token's and how
-    often that was drawn.
+    ``words`` are the classes of their own, ``class_counts`` the tokens of each class.
+    Every token is learned from once; parameters are averaged over the tasks.
     """
     bounded_batches(docs.sparkSession)
-    shared, endings = docs.sparkSession.sparkContext.broadcast(words), ENDINGS
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _pair_batches(batches, shared, rate, endings), "pair bigint, n bigint"
-    )
-    packed = rows.groupBy("pair").agg(F.sum("n").alias("n")).mapInArrow(_pack_batches, "pair binary, n binary")
-    n = len(words) + 1 + endings
-    out, drawn = np.zeros(2 * n * n, np.int64), []
-    for r in packed.collect():  # a row a partition, two numbers for each pair of classes and drawn token at most
-        pair, found = (np.frombuffer(zlib.decompress(r[c]), np.int64) for c in ("pair", "n"))
-        own = pair >= 0
-        out[pair[own]] = found[own]
-        drawn.append((-1 - pair[~own], found[~own]))
-    code, times = (np.concatenate(x) for x in zip(*drawn, strict=True)) if drawn else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(code)  # the same start whichever partition came first
-    code, times = code[order], times[order]
-    return out.reshape(2, n, n), (code // n % n, code // (n * n), code % n, times)
+    shared, endings = docs.sparkSession.sparkContext.broadcast((words, class_counts)), ENDINGS
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _pair_batches(batches, shared, endings), "code bigint, value double")
+    packed = rows.groupBy("code").agg(F.sum("value").alias("value")).mapInArrow(_pack_batches, "code binary, value binary")
+    n, model = len(class_counts), Contrast(class_counts)
+    pairs, learned = np.zeros(2 * n * n, np.int64), np.append(np.zeros(len(model.flat())), 0.0)
+    for r in packed.collect():  # a row a partition, two numbers for each pair of classes and parameter at most
+        code, value = np.frombuffer(zlib.decompress(r["code"]), np.int64), np.frombuffer(zlib.decompress(r["value"]), np.float64)
+        own = code >= 0
+        pairs[code[own]] = value[own]
+        learned[-1 - code[~own]] = value[~own]
+    parameters = model.shaped(learned[:-1] / learned[-1]) if learned[-1] else tuple(model.own)
+    return pairs.reshape(2, n, n), parameters
 
 
 @dataclass
@@ -399,9 +400,8 @@ def score(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
     totals = _ending_totals(words, own, dict(zip(number, head_counts.tolist(), strict=True)))
     ending_log = np.log10(np.maximum(totals[:, 0], 0) + 0.5 * (np.maximum(totals[:, 1], 0) + 1))
 
-    pairs, (one, two, now, times) = pair_counts(train_docs, own, min(1.0, SAMPLE_TOKENS / max(1, total)))
-    start = contrasted(one, two, now, times, pairs[0].sum(axis=0))
-    del one, two, now, times
+    class_counts = np.concatenate([[ends], np.maximum(totals[1:, 0], 0), head_counts[: len(own)]]).astype(np.int64)
+    pairs, start = contrasted(train_docs, own, class_counts)
     scorer = Scorer(number, head_counts, int(ends), own, ending_log, normalised(*fitted(start, pairs)))
     del pairs
     shared = spark.sparkContext.broadcast(scorer)

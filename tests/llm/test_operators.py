@@ -369,12 +369,58 @@ def test_language_model_scores_by_brute_force(documents, monkeypatch):
         assert found[k]["score"] == pytest.approx(expected, abs=1e-3)
 
 
-def test_drawn_tokens_and_pairs_cover_all_texts(documents):
+def test_every_token_is_learned_from_once(documents, monkeypatch):
+    """Pairs and tokens cover all texts in whatever parts they lie; tasks' parameters are averaged by their tokens."""
     docs = documents([(1, "a b a b " * 500, "s"), (2, "b a", "s"), (3, None, "s")])
-    pairs, (one, two, now, times) = lm_scoring.pair_counts(docs, [b"a", b"b"], 0.5)
+    counts = np.zeros(3 + lm_scoring.ENDINGS, np.int64)
+    counts[[0, -2, -1]] = 3, 1001, 1001
+    pairs, learned = lm_scoring.contrasted(docs.coalesce(1), [b"a", b"b"], counts)
     a, b = 1 + lm_scoring.ENDINGS, 2 + lm_scoring.ENDINGS
     assert pairs[0].sum() == pairs[1].sum() == 2000 + 1 + 2 + 1 + 1 and pairs[0][a, b] == 1000 and pairs[0][b, a] == 999 + 1
-    assert 800 < times.sum() < 1200 and {(x, y, z) for x, y, z in zip(one, two, now, strict=True)} >= {(a, b, b), (b, a, a)}
+    texts = [np.array([*([a, b] * 1000), 0]), np.array([b, a, 0]), np.array([0])]
+    whole = lm_scoring.Contrast(counts)
+    whole.learn(*(np.concatenate(x) for x in zip(*((*lm_scoring.before(t), t) for t in texts), strict=True)))
+    assert whole.tokens == 2005 and all(np.allclose(x, y, atol=1e-5) for x, y in zip(learned, whole.own, strict=True))
+    parts = [lm_scoring.Contrast(counts) for _ in range(3)]
+    for part, t in zip(parts, texts, strict=True):
+        part.learn(*lm_scoring.before(t), t)
+    mean = sum(p.flat() * p.tokens for p in parts) / 2005
+    again, spread = lm_scoring.contrasted(docs.repartitionByRange(3, "doc_id"), [b"a", b"b"], counts)
+    assert (again == pairs).all() and np.allclose(np.concatenate([x.ravel() for x in spread]), mean, atol=1e-5)
+
+
+def test_contrast_gradient_by_brute_force(monkeypatch):
+    """One step goes up the contrast's own likelihood in every parameter."""
+    monkeypatch.setattr(lm_scoring, "WIDTH", 3)
+    monkeypatch.setattr(lm_scoring, "NOISE", 2)
+    r = np.random.default_rng(7)
+    one, two, now = r.integers(0, 5, (3, 12))
+    model = lm_scoring.Contrast(np.array([5, 3, 2, 1, 4]), seed=1)
+    start = [x.copy() for x in model.own]
+    noise = np.minimum(np.searchsorted(model.up_to, np.random.default_rng(9).random(2)), 4)
+    model.random = np.random.default_rng(9)
+
+    def likelihood(own):
+        context, target, turn, bias = (x.astype(np.float64) for x in own)
+        q = context[one] @ turn[0] + context[two] @ turn[1]
+        over = lambda v, s: s + bias[v] - model.log_noise[v]
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        good = np.log(sigmoid(over(now, (q * target[now]).sum(1)))).sum()
+        return good + sum(np.log(1 - sigmoid(over(k, q @ target[k]))).sum() for k in noise)
+
+    model.learn(one, two, now)
+    checked = 0
+    for k, x in enumerate(start):
+        for at in np.ndindex(x.shape):
+            slope = []
+            for way in (1e-3, -1e-3):
+                other = [v.astype(np.float64).copy() for v in start]
+                other[k][at] += way
+                slope.append(likelihood(other))
+            if abs(slope[0] - slope[1]) > 1e-4:
+                checked += 1
+                assert np.sign(model.own[k][at] - x[at]) == np.sign(slope[0] - slope[1])
+    assert checked > 20
 
 
 def test_normaliser_by_brute_force():
@@ -393,7 +439,7 @@ def test_normaliser_by_brute_force():
 def test_language_model_learns_order():
     r = random.Random(1)
     rows = [np.array([*(2 + (k + s) % 8 for k in range(30)), 0]) for s in (r.randrange(8) for _ in range(150))]
-    model = lm_scoring.train(rows, 10)
+    model = lm_scoring.train(rows, 10, passes=30, batch=256)
     assert model.log_probabilities(rows[0])[1:30].mean() > math.log(0.5)
 
 
