@@ -3,11 +3,13 @@
 Character n-grams of the whole text are hashed into a count vector. A first
 layer of linear support vector machines picks the language family; within it,
 one machine for each pair of languages votes. All are L2 machines trained in
-numpy on a bounded sample with the same number of documents a language.
+numpy on a bounded sample with the same number of documents a language, by one
+task on an executor that gets count vectors and no texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SAMPLE_CHARS, bounded_batches, map_texts, remainder, table
+from lectern.llm.common import bounded_batches, byte_lists, map_texts, remainder, table
 
 # Families by ISO 639-1 code. Other codes form the family "other".
 _FAMILIES = {
@@ -128,13 +130,12 @@ def _odds(x: np.ndarray, machines: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-4 * np.clip((x @ w[:, :-1].T + w[:, -1]).astype(float), -20, 20)))
 
 
-def train(texts: list[bytes], langs: list[str]) -> LanguageModel:
-    rows = [(features(t), c) for t, c in zip(texts, langs, strict=True)]
-    rows = [(x, c) for x, c in rows if x is not None]
+def train(x: np.ndarray, langs: list[str]) -> LanguageModel:
+    """From count vectors, a row a text."""
     model = LanguageModel()
-    if not rows:
+    if not len(x):
         return model
-    x, c = np.stack([r[0] for r in rows]), np.array([r[1] for r in rows])
+    c = np.array(langs)
     f = np.array([family_of(k) for k in c])
     for family in sorted(set(f)):
         model.languages[family] = sorted(set(c[f == family]))
@@ -145,14 +146,23 @@ def train(texts: list[bytes], langs: list[str]) -> LanguageModel:
     return model
 
 
+def _vectors(batches):
+    for batch in batches:
+        found = [features(t) for t in byte_lists(batch.column("text"))]
+        there = [i for i, x in enumerate(found) if x is not None]
+        own = [batch.column(c).take(pa.array(there, pa.int64())) for c in ("lang", "place")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([found[i].tobytes() for i in there], pa.binary())], names=["lang", "place", "x"])
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> LanguageModel:
     """Learn from text and lang of docs: at most ``per_language`` distinct texts of each language.
 
     Of each language the texts with the least hashes are drawn, so the sample is
     the same at every run, copies count once and no language goes without. A
     threshold on the hash, wide enough for ten times the texts wanted, comes first,
-    so that no language's texts are sorted as a whole. Of a text over SAMPLE_CHARS
-    characters that many are learned from, from a place that a hash draws.
+    so that no language's texts are sorted as a whole. Texts are read as a whole,
+    where they lie: what is gathered is a vector of DIMENSIONS numbers for each text
+    of the sample, and the driver gets the model. Texts without a letter teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
@@ -167,12 +177,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     kept = known.select("lang", "text", place.alias("place")).join(F.broadcast(chosen), "lang").where(draw)
     first = Window.partitionBy("lang").orderBy("place")
     places = kept.select("lang", "place").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).drop("_n")
-    n = F.char_length("text")
-    at = F.pmod(F.xxhash64("text", F.lit(13)), F.greatest(n - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    part = F.when(n > SAMPLE_CHARS, F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
     # copies share a place: one is kept
-    rows = kept.join(F.broadcast(places), ["lang", "place"]).groupBy("lang", "place").agg(F.min(part).alias("text")).orderBy("lang", "place").toPandas()
-    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["lang"].tolist())
+    rows = kept.join(F.broadcast(places), ["lang", "place"]).mapInArrow(_vectors, "lang string, place bigint, x binary")
+    rows = rows.groupBy("lang", "place").agg(F.min("x").alias("x"))
+
+    def learn(batches):
+        langs, found = [], []
+        for batch in batches:
+            langs += batch.column("lang").to_pylist()
+            found += [np.frombuffer(x, np.float32) for x in batch.column("x").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(np.stack(found) if found else np.zeros((0, DIMENSIONS), np.float32), langs))], pa.binary())], names=["model"])
+
+    bounded_batches(docs.sparkSession)
+    return pickle.loads(rows.repartition(1).sortWithinPartitions("lang", "place").mapInArrow(learn, "model binary").first()["model"])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
