@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread_join, table
+from lectern.llm.common import checkpointed, spread_join, table
 
 #: (host, path, verdict)
 DEFAULT_RULES = [
@@ -85,7 +85,11 @@ def _by_shapes(urls: DataFrame, rules: DataFrame, shapes: list, few: bool) -> Da
 
 
 def _by_urls(urls: DataFrame, rules: DataFrame, shapes: list, few: bool) -> DataFrame:
-    """The same for rules of many shapes: each distinct URL is expanded once."""
+    """The same for rules of many shapes: each distinct URL is expanded once, each distinct expression meets the rules once.
+
+    An expression like ``com/`` that very many URLs have is one row of that join, and
+    what it found is broadcast back to them.
+    """
     each = urls.groupBy("host", "path").agg(F.count("*").alias("members"))
     suffixes = F.transform(F.lit(sorted({n for n, _ in shapes})), lambda n: _suffix(F.col("host"), n))
     prefixes = F.transform(F.lit(sorted({n for _, n in shapes})), lambda n: _prefix(F.col("path"), n))
@@ -93,11 +97,15 @@ def _by_urls(urls: DataFrame, rules: DataFrame, shapes: list, few: bool) -> Data
         each.select("host", "path", F.explode(F.filter(suffixes, lambda x: x.isNotNull())).alias("_suffix"), prefixes.alias("_prefixes"))
         .select("host", "path", "_suffix", F.explode(F.filter("_prefixes", lambda x: x.isNotNull())).alias("_prefix"))
         .withColumn("_e", _digest(F.concat("_suffix", "_prefix")))
-        .select("host", "path", "_e", F.substring("_e", 1, SHORT).alias("_short"))
+        .select("host", "path", "_e")
     )
+    distinct = checkpointed(expressions.groupBy("_e").agg(F.count("*").alias("members")))
+    short = F.substring("_e", 1, SHORT).alias("_short")
     own = rules.select("_rule", "rule_verdict", "_digest", F.substring("_digest", 1, SHORT).alias("_short"))
-    hits = expressions.join(F.broadcast(own) if few else own, "_short").where(F.col("_e") == F.col("_digest"))
-    best = hits.groupBy("host", "path").agg(F.max(_verdict()).alias("_best"))
+    hits = distinct.select("_e", "members", short).join(F.broadcast(own) if few else own, "_short").where(F.col("_e") == F.col("_digest"))
+    hits = checkpointed(hits.groupBy("_e", "members").agg(F.max(_verdict()).alias("_best")))
+    many = distinct.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    best = spread_join(expressions, hits, ["_e"], many).groupBy("host", "path").agg(F.max("_best").alias("_best"))
     total = urls.count()
     return spread_join(urls, each.join(best, ["host", "path"], "left"), ["host", "path"], total).drop("members")
 
