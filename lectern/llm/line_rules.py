@@ -26,6 +26,8 @@ MAX_DOCS = 10
 MAX_SHARE, MANY_DOCS = 0.01, 500
 #: Of a document's words, what must be left after the removal.
 MIN_LEFT = 0.5
+#: Up to this many hosts are broadcast; of more, each host's lines are joined in SALTS parts.
+BROADCAST_HOSTS, SALTS = 200_000, 32
 #: Up to this many frequent lines are broadcast; more are joined, the most frequent of them still broadcast.
 BROADCAST_LINES = 200_000
 _SYMBOLS = b"#*$%&|<>"
@@ -114,14 +116,21 @@ def parsed(docs: DataFrame) -> DataFrame:
     return checkpointed(counted.withColumn("row", F.monotonically_increasing_id()))
 
 
+def _with_size(lines: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """lines with their host's documents; where hosts are too many to be broadcast, a host's lines are spread over SALTS tasks."""
+    if n <= BROADCAST_HOSTS:
+        return lines.join(F.broadcast(sizes), "host")
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
+
+
 def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """(host, line, members) of the lines above the limits; members counts their documents."""
     sizes = rows.groupBy("host", "doc_id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = rows.select("host", "doc_id", F.explode("lines").alias("line"))
     counted = lines.groupBy("host", "line", "doc_id").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("members"))
     return (
-        counted.where(F.col("members") > max_docs)
-        .join(sizes, "host")
+        _with_size(counted.where(F.col("members") > max_docs), *settled(sizes))
         .where((F.col("members") > max_share * F.col("host_docs")) | (F.col("members") > many_docs))
         .select("host", "line", "members")
     )

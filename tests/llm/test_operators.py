@@ -488,6 +488,20 @@ def test_url_rules_by_brute_force(spark, monkeypatch, shapes, hot):
         assert (row["rule"], row["verdict"]) == best[2:]
 
 
+def test_an_expression_of_very_many_urls(spark, monkeypatch):
+    """A third of all pages below one suffix: the expression meets the rules once, and all its pages get the verdict."""
+    monkeypatch.setattr(url_filter, "FEW_SHAPES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "SMALL", 20)
+    urls = [f"http://h{k}.{'com' if k % 3 == 0 else 'net' if k % 3 == 1 else f'x{k}.org'}/p{k % 7}" for k in range(900)]
+    rules = [("com", "/", "block"), ("h3.com", "/p3", "allow"), ("net", "/p1", "block"), *((f"x{k}.org", "/", "block") for k in range(2, 90, 3))]
+    found = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), spark.createDataFrame(rules, url_filter.RULE_SCHEMA))
+    for row in found.collect():
+        fits = [(len(h + p), v == "block", h + p, v) for h, p, v in rules if (row["host"] == h or row["host"].endswith("." + h)) and row["path"].startswith(p)]
+        assert (row["rule"], row["verdict"]) == max(fits, default=(0, False, None, "allow"))[2:]
+    assert found.count() == 900
+
+
 def test_components_by_union_find(spark):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2060)]
@@ -624,6 +638,7 @@ def test_lines_of_a_large_host(documents, monkeypatch):
     found = {r["doc_id"]: r["removed_words"] for r in line_rules.judge(docs, many_docs=15).collect()}
     assert {k for k, n in found.items() if n == 2} == set(range(16)) and sum(found.values()) == 32
     monkeypatch.setattr(line_rules, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_rules, "BROADCAST_HOSTS", 0)
     monkeypatch.setattr(common, "HOT_ROWS", 12)
     monkeypatch.setattr(common, "SMALL", 12)
     assert {r["doc_id"]: r["removed_words"] for r in line_rules.judge(docs, many_docs=15).collect()} == found
@@ -647,7 +662,7 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
 
 def test_language_sample_counts_copies_once(spark, monkeypatch):
     rows = [(f"teksti numero {k % 25} on juuri", "fi") for k in range(5000)] + [(f"text number {k} is here", "en") for k in range(60)]
-    monkeypatch.setattr(language_id, "train", lambda texts, langs: Counter(langs))
+    monkeypatch.setattr(language_id, "train", lambda x, langs: (len(x), Counter(langs))[1])
     docs = spark.createDataFrame(rows, "text string, lang string")
     assert language_id.fit(docs) == {"fi": 25, "en": 60}
     assert all(language_id.fit(docs.where(F.abs(F.hash("text")) % 7 == k), per_language=1).keys() == {"fi", "en"} for k in range(3))
