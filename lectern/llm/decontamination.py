@@ -46,6 +46,8 @@ KINDS, PILOT_COPIES = ("replace", "insert", "delete", "mixed"), 128
 BLOCK_WORDS = 200_000
 #: Windows times tables that are walked at a time.
 WALK_CELLS = 400_000
+#: Rare words times classes of lengths that are counted at a time.
+MARK_CELLS = 4_000_000
 
 _LEAK = "struct<item_id:bigint,distance:int,item_words:int,start_word:int,end_word:int>"
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -235,22 +237,25 @@ class Searcher:
         self.rare = rare.T.copy()
         self.need = np.array([c.need for c in index.classes])
 
-    def _starts(self, doc: np.ndarray) -> dict[int, np.ndarray]:
-        """By class number: the starts of windows with enough rare words; some lie a little outside."""
-        found: dict[int, np.ndarray] = {}
+    def _starts(self, doc: np.ndarray):
+        """(class, starts of windows with enough rare words), class by class; some starts lie a little outside.
+
+        Words are counted for all classes a slice at a time, so that a very long text
+        takes no more memory than its own windows.
+        """
         hits = np.flatnonzero(self.any_rare[doc])
         if not hits.size:
-            return found
-        marks = self.rare[doc[hits]]
-        for c in np.flatnonzero(marks.sum(axis=0) >= self.need):
+            return
+        rows = max(1, MARK_CELLS // len(self.need))
+        there = sum(self.rare[doc[hits[k : k + rows]]].sum(axis=0) for k in range(0, len(hits), rows))
+        for c in np.flatnonzero(there >= self.need):
             cls = self.index.classes[c]
             starts = np.arange(-cls.limit, len(doc) - cls.length + cls.limit + 1)
             total = np.concatenate([[0], np.cumsum(cls.rare[doc])])
             held = total[np.clip(starts + cls.length, 0, len(doc))] - total[np.clip(starts, 0, len(doc))]
             starts = starts[held >= cls.need]
             if starts.size:
-                found[int(c)] = starts
-        return found
+                yield cls, starts
 
     def _by_rare_words(self, doc: np.ndarray, cls: LengthClass, starts: np.ndarray):
         """(item, starts) of all windows that hold enough of the item's own rare words: no copy is lost."""
@@ -299,8 +304,7 @@ class Searcher:
         index, get, best = self.index, self.index.symbols.get, {}
         words = words_of(raw) if index.classes else []
         doc = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        for c, starts in self._starts(doc).items():
-            cls = index.classes[c]
+        for cls, starts in self._starts(doc):
             for item, kept in (self._by_rare_words if cls.exact else self._by_tables)(doc, cls, starts):
                 row, own = self._nearest(doc, item, cls, kept), index.ids[item]
                 if row is not None:

@@ -174,6 +174,18 @@ def test_copies_at_the_ends_of_a_text():
         assert [x["distance"] for x in searcher.find(" ".join(kept).encode())] == [4]
 
 
+def test_rare_words_are_counted_in_slices(monkeypatch):
+    """The same leaks however many words are counted at a time."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(n)).encode()) for k, n in enumerate((6, 9, 15, 30, 30, 44))]
+    searcher = decontamination.Searcher(decontamination.build_index(items, decontamination.EDIT_SHARE, decontamination.RECALL))
+    texts = [" ".join([*(word() for _ in range(r.randrange(400))), items[k % 6][1].decode(), *(word() for _ in range(300))]).encode() for k in range(12)]
+    whole = searcher.search(texts)
+    monkeypatch.setattr(decontamination, "MARK_CELLS", 12)
+    assert searcher.search(texts) == whole and all(any(x["item_id"] == k % 6 and x["distance"] == 0 for x in found) for k, found in enumerate(whole))
+
+
 def test_short_benchmark_items():
     searcher = decontamination.Searcher(decontamination.build_index([(1, b"alpha"), (2, b"beta Gamma"), (3, b"one two three four"), (4, b" ... ")]))
     rows = searcher.search([b"zero one two three four beta, gamma", b"one two three five gamma beta", b"ALPHA", b""])
