@@ -76,7 +76,8 @@ def test_empty_table_and_nearest_tie(spark):
     cells = spark.createDataFrame([(1, 0, 0, 0, 100, 100), (1, 1, 50, 0, 100, 100)], "t int, ord int, x1 int, y1 int, x2 int, y2 int")
     shapes = {r["t"]: (r["row_count"], r["column_count"]) for r in grid.table_shape(tables, cells, ["t"]).collect()}
     assert shapes == {1: (1, 2), 2: (0, 0)}
-    assert spark.range(1).selectExpr(f"{grid._nearest('array(0, 10)', '5')} AS i").first()["i"] == 0
+    edges = spark.sql("SELECT 5 AS edge, named_struct('line_index', 0, 'line', 0, 'after', 10) AS last")
+    assert edges.select(grid._nearest("last", "edge").alias("i")).first()["i"] == 0
 
 
 def test_orientations(spark):
