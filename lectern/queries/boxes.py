@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
@@ -84,15 +84,17 @@ SELECT page, ord, {_ring('x1 - d')} AS x1, {_ring('y1 - d')} AS y1, {_ring('x2 +
 def expanded_rings(spark, sf_dir):
     """Boxes pushed outwards with round corners: the ring's extent, and whether all its points are as far out as they should be."""
 
-    @F.pandas_udf("x1 int, y1 int, x2 int, y2 int, around boolean")
-    def ring(boxes: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for x1, y1, x2, y2 in boxes.itertuples(index=False):
-            points = polygons.expand(np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)]), 1.6)
-            d = (x2 - x1) * (y2 - y1) * 1.6 / (2 * (x2 - x1 + y2 - y1))
-            out = np.hypot(np.maximum(np.maximum(x1 - points[:, 0], points[:, 0] - x2), 0), np.maximum(np.maximum(y1 - points[:, 1], points[:, 1] - y2), 0))
-            rows.append((*points.min(axis=0), *points.max(axis=0), bool((abs(out - d) <= 0.75).all())))
-        return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "around"])
+    @F.arrow_udf("x1 int, y1 int, x2 int, y2 int, around boolean")
+    def ring(boxes: pa.Array) -> pa.Array:
+        x1, y1, x2, y2 = (boxes.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2"))
+        box, points = polygons.expand_all(np.stack([x1, y1, x2, y1, x2, y2, x1, y2], axis=1).reshape(-1, 4, 2), 1.6)
+        d = (x2 - x1) * (y2 - y1) * 1.6 / (2 * (x2 - x1 + y2 - y1))
+        x, y = points.T
+        out = np.hypot(np.maximum(np.maximum(x1[box] - x, x - x2[box]), 0), np.maximum(np.maximum(y1[box] - y, y - y2[box]), 0))
+        first = np.flatnonzero(np.diff(box, prepend=-1))  # every box has points
+        ends = [f.reduceat(c, first).astype(np.int32) for f, c in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+        around = np.logical_and.reduceat(np.abs(out - d[box]) <= 0.75, first)
+        return pa.StructArray.from_arrays([pa.array(v) for v in (*ends, around)], names=["x1", "y1", "x2", "y2", "around"])
 
     rows = page_boxes(spark, sf_dir).select("page", "ord", ring(F.struct(*box_columns())).alias("r"))
     return rows.select("page", "ord", "r.*")

@@ -125,3 +125,32 @@ def test_pixels():
     assert pixels.binary_map(np.eye(5) == 2.0).sum() == 0
     batch, widths = pixels.recognition_batch([np.zeros((24, 30, 3), np.uint8), np.zeros((48, 20, 3), np.uint8)], rtl=True)
     assert batch.shape == (2, 48, 60, 3) and widths == [60, 20] and batch[1, 0, 0, 0] == 127
+
+
+def _quads(n: int) -> np.ndarray:
+    """Slanted rectangles of either turn, and any four points."""
+    draw = np.random.default_rng(5)
+    slanted = [polygons.smallest_rectangle(draw.integers(0, 60, (4, 2))).astype(int) for _ in range(n)]
+    return np.array([*slanted, *(s[::-1] for s in slanted), *draw.integers(0, 60, (n, 4, 2))])
+
+
+def test_many_rings_at_once_are_those_of_one_box_each():
+    quads = _quads(100)
+    box, points = polygons.expand_all(quads, 1.6)
+    for k, quad in enumerate(quads):
+        assert sorted(map(tuple, points[box == k].tolist())) == sorted(map(tuple, polygons.expand(quad, 1.6).tolist()))
+    assert (np.diff(box) >= 0).all()
+    assert len(polygons.expand_all(np.empty((0, 4, 2)), 1.6)[0]) == 0
+
+
+def test_many_pairs_at_once_share_what_one_pair_each_does(spark):
+    a = _quads(100)
+    b = a[np.random.default_rng(6).permutation(len(a))]
+    one = np.array([polygons.shared_area(p, q) for p, q in zip(a, b, strict=True)])
+    assert np.abs(polygons.shared_areas(a.astype(float), b.astype(float)) - one).max() < 1e-9
+    rows = [([(int(x), int(y)) for x, y in p], [(int(x), int(y)) for x, y in q]) for p, q in zip(a[:200], b[:200], strict=True)]
+    rows += [(None, rows[0][1]), ([(0, 0), (4, 0), (4, 4)], [(0, 0), (4, 0), (4, 4), (0, 4)])]
+    frame = spark.createDataFrame(rows, "a array<struct<x:int,y:int>>, b array<struct<x:int,y:int>>")
+    found = [r[0] for r in frame.select(polygons.quad_overlap_udf("a", "b")).collect()]
+    assert found[200:] == [None, 1.0]
+    assert found[:200] == [polygons.quad_overlap(p, q) for p, q in zip(a[:200], b[:200], strict=True)]
