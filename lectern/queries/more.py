@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lectern import schema
 from lectern.config import Settings
 from lectern.functions import geometry as g
-from lectern.functions import languages, maps, pixels
+from lectern.functions import languages, maps, pixels, polygons
 from lectern.operators import language, language_model, matching, results, validation
 from lectern.plans.models import generate
 from lectern.queries.base import CELLS, LINES, PAGE_BOXES, box_columns, cells, items, kept, lines, page_boxes, query, sql_area, work_folder
@@ -346,7 +346,7 @@ def slanted_overlap(spark, sf_dir):
     rows = _diamond(rows, "bounds", "x1 + 20", "y1 + 20", "(10 + ord % 5)")
     a, b = rows.select("page", F.col("ord").alias("a"), F.col("bounds").alias("p")), rows.select("page", F.col("ord").alias("b"), F.col("bounds").alias("q"))
     pairs = a.join(b, "page").where(F.col("a") != F.col("b"))
-    return pairs.select("page", "a", "b", F.round(g.quad_overlap("p", "q").cast("double"), 5).alias("overlap"))
+    return pairs.select("page", "a", "b", F.round(polygons.quad_overlap_udf("p", "q").cast("double"), 5).alias("overlap"))
 
 
 @query(f"""WITH {LINES}, d AS (SELECT page, ord, x1 + 20 AS cx, y1 + 20 AS cy, 10 + ord % 5 AS r, text FROM lines),
