@@ -17,7 +17,15 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def table_stream(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """A parquet table's files as a stream, with the schema of what is there."""
+    """A parquet table's files as a stream, with the schema of what is there.
+
+    What ``pattern`` names below path is a file, or a folder that a job has written;
+    a filter by name would see the folder's files and not its own name.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if "*" not in pattern and files.exists(at) and files.getFileStatus(at).isDirectory():
+        path, pattern = f"{path}/{pattern}", "*"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 

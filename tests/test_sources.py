@@ -273,3 +273,13 @@ def test_pages_that_stay_away_are_given_up(spark, tmp_path):
     assert run_pages(spark, tmp_path / "b", "0 seconds") == [(1, 1, None), (1, 3, "greek"), (1, 4, "greek"), (2, 2, None), (3, 1, "dutch")]
     put_pages(spark, tmp_path / "b", [(1, 2, None, "late"), (1, 5, "asked", None)])
     assert run_pages(spark, tmp_path / "b", "0 seconds")[1:3] == [(1, 2, "greek"), (1, 3, "greek")]
+
+
+def test_stream_of_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from lectern.streaming import documents
+
+    spark.range(0, 100, 1, 3).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "others.parquet"))
+    stream = documents.table_stream(spark, str(tmp_path), "conversations.parquet")
+    documents.run_available(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(100))
