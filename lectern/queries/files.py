@@ -5,9 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.queries.base import items, query
 from lectern.sources import office_files
@@ -46,17 +45,35 @@ def make_xlsx(rows: list) -> bytes:
     })
 
 
+#: Files that are written at a time, and the items of a batch of files: a file's size goes by its items.
+FILES_AT_ONCE, ITEMS_AT_ONCE = 500, 10_000
+
+
+def written(rows, make):
+    """(doc_id, content) of rows (doc_id, rows): the file that ``make`` has of each, in batches of few large or many small files."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            sizes, start = lists.value_lengths().to_pylist(), 0
+            while start < len(sizes):
+                end, n = start + 1, sizes[start]
+                while end < len(sizes) and end - start < FILES_AT_ONCE and n + sizes[end] <= ITEMS_AT_ONCE:
+                    n, end = n + sizes[end], end + 1
+                contents = [make(r) for r in lists.slice(start, end - start).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(contents, pa.binary())], names=["doc_id", "content"])
+                start = end
+
+    return rows.select("doc_id", "rows").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary")
+
+
 def _files(spark, sf_dir, make):
     """(doc_id, content): a file for each order."""
 
-    @F.pandas_udf(T.BinaryType())
-    def written(orders: pd.Series) -> pd.Series:
-        return orders.map(lambda rows: make(list(rows)))
-
     rows = items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.struct("n", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")))).alias("rows")
     )
-    return rows.select("doc_id", written("rows").alias("content"))
+    return written(rows, make)
 
 
 _LI = "li AS (SELECT l_orderkey AS doc_id, l_partkey AS part, l_suppkey AS supplier, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS n FROM lineitem)"

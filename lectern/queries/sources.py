@@ -6,16 +6,14 @@ files, and read back by name.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions import table_functions
 from lectern.operators import results
 from lectern.queries.base import kept, query, work_folder
 from lectern.queries.documents import _results
-from lectern.queries.files import make_docx, make_xlsx
+from lectern.queries.files import make_docx, make_xlsx, written
 from lectern.sources import data_sources, office_files
 from lectern.sources.tables import table
 from lectern.streaming import documents as streaming
@@ -31,11 +29,7 @@ def _parts(spark, sf_dir) -> DataFrame:
 
 
 def _contents(spark, sf_dir, make) -> DataFrame:
-    @F.pandas_udf(T.BinaryType())
-    def written(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda rows: make(list(rows)))
-
-    return _parts(spark, sf_dir).select("doc_id", written("rows").alias("content"))
+    return written(_parts(spark, sf_dir), make)
 
 
 def _as_files(spark, contents: DataFrame, suffix: str) -> str:
