@@ -283,3 +283,39 @@ def test_stream_of_a_table_that_is_a_folder_of_files(spark, tmp_path):
     stream = documents.table_stream(spark, str(tmp_path), "conversations.parquet")
     documents.run_available(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(100))
+
+
+def test_large_files_are_written_in_small_batches(spark):
+    import pyarrow as pa
+
+    from lectern.queries import files
+
+    held = []
+
+    class Rows:
+        """Stands for a DataFrame: runs the function of mapInArrow on one batch."""
+
+        schema = spark.createDataFrame([], "doc_id bigint, rows array<int>").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            item = {"n": 1, "part": 3, "supplier": 7}
+            batch = pa.RecordBatch.from_pylist([{"doc_id": k, "rows": [item] * n} for k, n in enumerate([4_000] * 20 + [1] * 1_000 + [0])])
+            held.extend(run([batch]))
+
+    files.written(Rows(), files.make_docx)
+    assert [k for b in held for k in b.column(0).to_pylist()] == list(range(1_021))
+    assert max(b.nbytes for b in held) < 8_000_000 and len(held) < 20
+
+
+def test_tables_of_word_files_are_read_once(spark):
+    from lectern.queries import files
+    from lectern.sources import office_files
+
+    docs = spark.createDataFrame([(1, files.make_docx([{"n": 1, "part": 3, "supplier": 7}])), (2, b"broken")], "doc_id bigint, content binary")
+    tables, cells = office_files.word_tables(office_files.word_blocks(docs))
+    assert tables._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["doc_id"], r["page_number"], r["row_count"], r["column_count"]) for r in tables.collect()] == [(1, 2, 2, 2)]
+    assert cells.count() == 3
