@@ -8,8 +8,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern import schema
 from lectern.config import Settings
@@ -306,15 +306,16 @@ o AS (
 SELECT vec_id, op, y, x, v::INT AS red FROM o""")
 def picture_operations(spark, sf_dir):
     """Turning, padding, resizing, cropping and stacking of pictures, pixel by pixel."""
-    kind = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("y", "x", "red"))]))
-
     def run(batches):
         for batch in batches:
-            rows = [(k, op, y, x, int(red)) for k, v in zip(batch["vec_id"], batch["embedding"], strict=True) for op, out in _operations(_image(v)).items() for (y, x), red in np.ndenumerate(out[:, :, 0])]
-            yield pd.DataFrame(rows, columns=["vec_id", "op", "y", "x", "red"])
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a picture's pixels at a time
+                held = [(op, *np.indices(out.shape[:2]).reshape(2, -1), out[:, :, 0].ravel()) for op, out in _operations(_image(v.as_py())).items()]
+                ops = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+                y, x, red = (np.concatenate([h[i] for h in held]).astype(np.int32) for i in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(ops), batch.schema.field(0).type), pa.array(ops, pa.string()), pa.array(y), pa.array(x), pa.array(red)], names=["vec_id", "op", "y", "x", "red"])
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return rows.mapInPandas(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, op string, y int, x int, red int")
+    return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, op string, y int, x int, red int")
 
 
 @query(f"""WITH {_LI} SELECT doc_id, 'top ' || string_agg('in ' || part, ' ' ORDER BY n) AS text FROM li GROUP BY doc_id""")
