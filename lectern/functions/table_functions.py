@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
 from lectern.sources import office_files, text_files
+from lectern.sources.office_files import cells_of_blocks as word_cells
+from lectern.sources.office_files import pages_of_blocks as word_pages
+from lectern.storage import bounded_batches
 
 _WORD = {
     "blocks": office_files.BLOCK_COLUMNS,
@@ -40,51 +43,6 @@ def _wanted(argument: AnalyzeArgument | None, known: dict[str, str], default: st
     return known[name]
 
 
-def paged_blocks(rows: list[tuple]) -> list[tuple[int, tuple]]:
-    """(page, block row): a page ends after a paragraph with a break, if it has content by then."""
-    out, page, content, ended, before = [], 1, False, False, None
-    for row in rows:
-        block, kind, text, broken = row[:4]
-        own = kind == "t" or bool(text)
-        if block != before and ended:
-            page, content, ended = page + 1 if content else page, False, False
-        content = content or own
-        ended = ended or bool(broken)
-        out.append((page, row))
-        before = block
-    last = max((p for p, r in out if r[1] == "t" or r[2]), default=1)
-    return [(min(p, last), r) for p, r in out]
-
-
-def word_cells(rows: list[tuple]) -> Iterator[tuple]:
-    """Cells of a document's tables; a cell starts where the spans before it in its row end."""
-    at, key = 0, None
-    for page, (block, kind, text, _, row, _, span, _) in paged_blocks(rows):
-        if kind == "t" and row is not None:
-            if key != (block, row):
-                at, key = 0, (block, row)
-            yield page, block, row, at, 1, span, text or None
-            at += span
-
-
-def word_pages(rows: list[tuple]) -> Iterator[tuple]:
-    """Page texts: paragraphs, and tables as lines of cells with tabs between them."""
-    if rows and rows[0][1] == "e":
-        yield 1, None, rows[0][-1]
-        return
-    parts: dict[int, dict] = {1: {}}
-    for page, (block, kind, text, _, row, *_) in paged_blocks(rows):
-        own = parts.setdefault(page, {})
-        if kind == "t":
-            if row is not None:
-                own.setdefault(block, {}).setdefault(row, []).append(text)
-        elif text:
-            own[block] = text
-    for page, own in parts.items():
-        texts = [p if isinstance(p, str) else "\n".join("\t".join(cells) for cells in p.values()) for p in own.values()]
-        yield page, "\n".join(t for t in texts if t) if texts else None, None
-
-
 @udtf
 class WordRows:
     """lectern_docx(content, 'pages' | 'cells' | 'blocks'): rows of a word-processor file; pages if nothing is named."""
@@ -120,5 +78,6 @@ class CsvRows:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session's SQL."""
+    bounded_batches(spark)
     for name, function in (("lectern_docx", WordRows), ("lectern_xlsx", SheetRows), ("lectern_csv", CsvRows)):
         spark.udtf.register(name, function)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.queries.base import items, query
 from lectern.sources import office_files
+from lectern.storage import bounded_batches
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -20,7 +21,7 @@ def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, text in parts.items():
-            z.writestr(name, text)
+            z.writestr(zipfile.ZipInfo(name), text)
     return out.getvalue()
 
 
@@ -55,15 +56,22 @@ def written(rows, make):
     def run(batches):
         for batch in batches:
             ids, lists = batch.column(0), batch.column(1)
+            names = [f.name for f in lists.type.value_type]
             sizes, start = lists.value_lengths().to_pylist(), 0
             while start < len(sizes):
                 end, n = start + 1, sizes[start]
                 while end < len(sizes) and end - start < FILES_AT_ONCE and n + sizes[end] <= ITEMS_AT_ONCE:
                     n, end = n + sizes[end], end + 1
-                contents = [make(r) for r in lists.slice(start, end - start).to_pylist()]
+                # columns become Python values at once; nested values would, one by one, take longer than the files
+                items = lists.slice(start, end - start).flatten()
+                parts, at, contents = [dict(zip(names, v, strict=True)) for v in zip(*(c.to_pylist() for c in items.flatten()), strict=True)], 0, []
+                for k in sizes[start:end]:
+                    contents.append(make(parts[at : at + k]))
+                    at += k
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(contents, pa.binary())], names=["doc_id", "content"])
                 start = end
 
+    bounded_batches(rows.sparkSession)
     return rows.select("doc_id", "rows").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
@@ -84,7 +92,7 @@ _TABLE = "tables AS (SELECT doc_id, sum(CASE WHEN part % 3 = 0 THEN 1 ELSE 0 END
 @query(f"""WITH {_LI}, {_PAGED}, {_TABLE}, parts AS (SELECT doc_id, page_number, n, 'item ' || n || ' part ' || part AS text FROM paged UNION ALL SELECT doc_id, page_number, 1000000, text FROM tables)
 SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY n) AS text FROM parts GROUP BY doc_id, page_number""")
 def word_pages(spark, sf_dir):
-    return office_files.word_pages(office_files.word_blocks(_files(spark, sf_dir, make_docx))).select("doc_id", "page_number", "text")
+    return office_files.read_word_pages(_files(spark, sf_dir, make_docx)).select("doc_id", "page_number", "text")
 
 
 @query(f"""WITH {_LI}, {_TABLE} SELECT doc_id, page_number, 'Docx' AS table_type, row_count, 2 AS column_count FROM tables""")

@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from lectern.sources import office_files, text_files
+from lectern.storage import bounded_batches
 
 #: What a partition has at most, and rows of a batch; the first two are options of that name.
 BYTES, FILES, ROWS = 32 << 20, 1_000, 1_000
@@ -226,5 +227,6 @@ def register(spark: SparkSession) -> None:
     from lectern.sources.staged_files import Results
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bounded_batches(spark)
     for source in (WordFiles, ExcelFiles, CsvFiles, Dictionaries, Contents, Results):
         spark.dataSource.register(source)

@@ -106,9 +106,9 @@ def _write_files(self, iterator: Iterator[pa.RecordBatch], job: str) -> Staged:
     system, root = opened(self.path)
     folder, attempt, files = self._folder(root, job), self._attempt(), []
     for batch in iterator:
-        for name, content in zip(batch.column("filename").to_pylist(), batch.column("content").to_pylist(), strict=True):
+        for name, content in zip(batch.column("filename").to_pylist(), batch.column("content"), strict=True):  # one file's bytes at a time
             with system.open_output_stream(f"{folder}/{attempt}-{len(files)}") as f:
-                f.write(content or b"")
+                f.write(content.as_py() or b"")
             files.append((f"{attempt}-{len(files)}", name))
     return Staged(files)
 

@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 import textwrap
+import time
 from pathlib import Path
 
 import pytest
@@ -14,6 +15,7 @@ from lectern.functions import table_functions
 from lectern.operators import language
 from lectern.queries.files import make_docx, make_xlsx
 from lectern.sources import data_sources, office_files, staged_files, text_files
+from lectern import storage
 from lectern.streaming import languages
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -319,3 +321,27 @@ def test_tables_of_word_files_are_read_once(spark):
     assert tables._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [(r["doc_id"], r["page_number"], r["row_count"], r["column_count"]) for r in tables.collect()] == [(1, 2, 2, 2)]
     assert cells.count() == 3
+
+
+def test_batches_of_files_are_bounded_by_their_bytes(sources):
+    kib = sources.range(0, 2000, 1, 1).select("id", F.expr("repeat('x', 10240)").cast("binary").alias("content"))
+    sizes = kib.mapInPandas(lambda batches: (b.iloc[:1].assign(id=sum(map(len, b["content"])))[["id"]] for b in batches), "id bigint").collect()
+    assert sum(r["id"] for r in sizes) == 2000 * 10240 and max(r["id"] for r in sizes) <= storage.BATCH_BYTES
+
+
+def test_a_sheet_takes_time_by_its_rows():
+    def seconds(n):
+        content = make_xlsx([{"n": k, "part": k, "supplier": k} for k in range(n)])
+        began = time.perf_counter()
+        assert len(office_files.read_sheets(content)[0][1]) == n
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert min(seconds(4000) for _ in range(2)) < 12 * min(seconds(800) for _ in range(3))  # 25 times where each row looks at all
+
+
+def test_pages_of_whole_files_are_those_of_their_blocks(spark):
+    of = lambda n: [{"n": k + 1, "part": 3 * k + n, "supplier": k} for k in range(n)]
+    docs = spark.createDataFrame([*((n, bytearray(make_docx(of(n)))) for n in range(12)), (99, bytearray(b"broken"))], "doc_id bigint, content binary")
+    shuffled = {tuple(r) for r in office_files.word_pages(office_files.word_blocks(docs)).collect()}
+    assert {tuple(r) for r in office_files.read_word_pages(docs).collect()} == shuffled
