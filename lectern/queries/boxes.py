@@ -163,7 +163,7 @@ _EDGES = """edges AS (
 
 @query(f"WITH {PAGE_BOXES}, {_EDGES} SELECT page, axis, line_index, line FROM grid")
 def cluster_grid_lines(spark, sf_dir):
-    return grid.grid_lines(grid.edges_of(page_boxes(spark, sf_dir), ["page"]), ["page"])
+    return grid.cell_lines(page_boxes(spark, sf_dir), ["page"])
 
 
 def _near(axis: str, edge: str) -> str:

@@ -154,3 +154,13 @@ def test_many_pairs_at_once_share_what_one_pair_each_does(spark):
     found = [r[0] for r in frame.select(polygons.quad_overlap_udf("a", "b")).collect()]
     assert found[200:] == [None, 1.0]
     assert found[:200] == [polygons.quad_overlap(p, q) for p, q in zip(a[:200], b[:200], strict=True)]
+
+
+def test_lines_of_cells_are_those_of_their_edges_without_windows(spark):
+    rows = [(t, o, *(int(hash((t, o, c)) % 97 - 40) for c in range(4))) for t in range(40) for o in range(t % 9)] + [(50, 0, None, 3, 4, None), (50, 1, 7, None, 30, None), (51, 0, None, None, None, None)]
+    cells = spark.createDataFrame(rows, "t int, ord int, x1 int, y1 int, x2 int, y2 int").repartition(3)
+    found = grid.cell_lines(cells, ["t"])
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in grid.grid_lines(grid.edges_of(cells, ["t"]), ["t"]).collect()}
+    for rows in (found, grid.place_cells(cells, ["t"]), grid.table_shape(cells.select("t").distinct(), cells, ["t"])):
+        assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert grid.place_cells(cells, ["t"]).count() == cells.count()
