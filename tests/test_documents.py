@@ -256,3 +256,14 @@ def test_learned_languages_on_held_out_documents(spark):
     model = language_model.learn(docs.where("doc_id % 3 <> 1"))
     rows = language_model.identify(docs.where("doc_id % 3 = 1 and text rlike '[a-z]'"), model, ["doc_id"]).select("language", "found").collect()
     assert len(rows) > 250 and sum(r["language"] == r["found"] for r in rows) / len(rows) >= 0.95
+
+
+def test_learned_languages_need_no_row_for_each_run(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "en", "The cat, the dog"), (2, "de", "Die Katze \U0001d400 das Ü-Tier"), (3, None, "the"), (4, "en", None), (5, "en", "")], "doc_id int, language string, text string")
+    monkeypatch.setattr(language_model, "AT_ONCE", 7)
+    said = [t for batch in language_model._coded(language_model.pa.array([r["t"] for r in rows.where("text IS NOT NULL").select("doc_id", language_model._letters(F.col("text")).alias("t")).orderBy("doc_id").collect()])) for t in zip(*map(list, batch), strict=True)]
+    wanted = rows.where("text IS NOT NULL").orderBy("doc_id").select(language_model.runs(F.col("text")).alias("r")).collect()
+    assert said == [(k, language_model._coded_one(run)) for k, r in enumerate(wanted) for run in r["r"]]
+    found = language_model.identify(rows, language_model.learn(rows), ["doc_id"])
+    assert {r["doc_id"]: r["found"] for r in found.collect()} == {1: "en", 2: "de", 3: "en", 4: None, 5: None}
+    assert "Explode" not in found._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
