@@ -18,11 +18,7 @@ from lectern.sources.office_files import cells_of_blocks as word_cells
 from lectern.sources.office_files import pages_of_blocks as word_pages
 from lectern.storage import bounded_batches
 
-_WORD = {
-    "blocks": office_files.BLOCK_COLUMNS,
-    "cells": "page_number int, table_ord int, row_index int, column_index int, row_span int, column_span int, text string",
-    "pages": "page_number int, text string, error_kind string",
-}
+_WORD = {what: columns for what, (columns, _) in office_files.WORD_ROWS.items()}
 
 
 _TYPES = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -17,12 +17,31 @@ _S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def _zip(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name), text)
-    return out.getvalue()
+#: A zip file's records after their signatures: of a part, of the same part in the directory, and of the directory.
+_PART, _ENTRY, _END = struct.Struct("<4s2B4H3L2H"), struct.Struct("<4s4B4H3L5H2L"), struct.Struct("<4s4H2LH")
+_STORED, _DEFLATED, _FIRST_DAY = 0, 8, 1 << 5 | 1
+
+
+def _part(name: str, text: str, deflated: bool = False) -> tuple[bytes, bytes, bytes]:
+    """A part of a zip file with an ASCII name, and its entry before and after the place where the part begins."""
+    data, named = text.encode(), name.encode("ascii")
+    sums = zlib.crc32(data), len(data)
+    if deflated:
+        packer = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS)
+        data = packer.compress(data) + packer.flush()
+    about = 20, 0, 0, _DEFLATED if deflated else _STORED, 0, _FIRST_DAY, sums[0], len(data), sums[1], len(named), 0
+    entry = _ENTRY.pack(b"PK\1\2", 20, 3, *about, 0, 0, 0, 0o600 << 16, 0)
+    return _PART.pack(b"PK\3\4", *about) + named + data, entry[:-4], named
+
+
+def _joined(parts: list[tuple[bytes, bytes, bytes]]) -> bytes:
+    """The zip file of parts: the bytes that ``zipfile`` would write, without its objects for each part."""
+    at, entries = 0, []
+    for part, entry, name in parts:
+        entries += entry, at.to_bytes(4, "little"), name
+        at += len(part)
+    directory = b"".join(entries)
+    return b"".join([*(part for part, _, _ in parts), directory, _END.pack(b"PK\5\6", 0, 0, len(parts), len(parts), len(directory), at, 0)])
 
 
 def make_docx(rows: list) -> bytes:
@@ -31,19 +50,26 @@ def make_docx(rows: list) -> bytes:
     cell = lambda text, span=1: f'<w:tc><w:tcPr><w:gridSpan w:val="{span}"/></w:tcPr>{p(text)}</w:tc>'
     body = "".join(p(f"item {r['n']} part {r['part']}", r["part"] % 3 == 0) for r in rows)
     table = "<w:tr>" + cell("parts", 2) + "</w:tr>" + "".join(f"<w:tr>{cell(r['part'])}{cell(r['supplier'])}</w:tr>" for r in rows)
-    return _zip({"word/document.xml": f'<w:document xmlns:w="{_W}"><w:body>{body}<w:tbl>{table}</w:tbl></w:body></w:document>'})
+    return _zip({"word/document.xml": f'<w:document xmlns:w="{_W}"><w:body>{body}<w:tbl>{table}</w:tbl></w:body></w:document>'}, deflated=True)
+
+
+def _zip(parts: dict[str, str], deflated: bool = False) -> bytes:
+    return _joined([_part(name, text, deflated) for name, text in parts.items()])
+
+
+#: Parts of a workbook that all have.
+_BOOK = [
+    _part("xl/workbook.xml", f'<workbook xmlns="{_S}" xmlns:r="{_R}"><sheets><sheet name="Items" r:id="a"/><sheet name="Rest" r:id="b"/></sheets></workbook>'),
+    _part("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/a.xml"/><Relationship Id="b" Target="worksheets/b.xml"/></Relationships>'),
+    _part("xl/sharedStrings.xml", f'<sst xmlns="{_S}"><si><t>part</t></si></sst>'),
+]
+_REST = _part("xl/worksheets/b.xml", f'<worksheet xmlns="{_S}"><sheetData/></worksheet>')
 
 
 def make_xlsx(rows: list) -> bytes:
     """Two sheets: items with a shared string and numbers, starting at C2; and one without cells."""
     lines = "".join(f'<row r="{k + 2}"><c r="C{k + 2}" t="s"><v>0</v></c><c r="D{k + 2}"><v>{r["part"]}</v></c><c r="E{k + 2}" t="b"><v>{r["supplier"] % 2}</v></c></row>' for k, r in enumerate(rows))
-    return _zip({
-        "xl/workbook.xml": f'<workbook xmlns="{_S}" xmlns:r="{_R}"><sheets><sheet name="Items" r:id="a"/><sheet name="Rest" r:id="b"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/a.xml"/><Relationship Id="b" Target="worksheets/b.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{_S}"><si><t>part</t></si></sst>',
-        "xl/worksheets/a.xml": f'<worksheet xmlns="{_S}"><sheetData>{lines}</sheetData></worksheet>',
-        "xl/worksheets/b.xml": f'<worksheet xmlns="{_S}"><sheetData/></worksheet>',
-    })
+    return _joined([*_BOOK, _part("xl/worksheets/a.xml", f'<worksheet xmlns="{_S}"><sheetData>{lines}</sheetData></worksheet>'), _REST])
 
 
 #: Files that are written at a time, and the items of a batch of files: a file's size goes by its items.
@@ -51,7 +77,7 @@ FILES_AT_ONCE, ITEMS_AT_ONCE = 500, 10_000
 
 
 def written(rows, make):
-    """(doc_id, content) of rows (doc_id, rows): the file that ``make`` has of each, in batches of few large or many small files."""
+    """(doc_id, content) of rows (doc_id, rows): the file that ``make`` has of each, in batches of few large or many small files; callers bound the batches that come."""
 
     def run(batches):
         for batch in batches:
@@ -71,13 +97,12 @@ def written(rows, make):
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(contents, pa.binary())], names=["doc_id", "content"])
                 start = end
 
-    bounded_batches(rows.sparkSession)
     return rows.select("doc_id", "rows").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
 def _files(spark, sf_dir, make):
     """(doc_id, content): a file for each order."""
-
+    bounded_batches(spark)
     rows = items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.struct("n", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")))).alias("rows")
     )

@@ -16,19 +16,22 @@ from lectern.queries.documents import _results
 from lectern.queries.files import make_docx, make_xlsx, written
 from lectern.sources import data_sources, office_files
 from lectern.sources.tables import table
+from lectern.storage import bounded_batches
 from lectern.streaming import documents as streaming
 from lectern.streaming import languages
 
 
 def _parts(spark, sf_dir) -> DataFrame:
     """(doc_id, rows): a supplier's items in order."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    # items that are alike in these are alike in all that a file has of them: the price need not be shuffled to tell them apart
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     items = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
     row = F.struct("n", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
     return items.groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
 def _contents(spark, sf_dir, make) -> DataFrame:
+    bounded_batches(spark)
     return written(_parts(spark, sf_dir), make)
 
 
@@ -60,8 +63,8 @@ UNION ALL SELECT doc_id, 2, 'Sheet: Rest' FROM (SELECT DISTINCT doc_id FROM li)"
 def docx_source(spark, sf_dir):
     """Word-processor files by ``lectern-docx``."""
     folder = _as_files(spark, _contents(spark, sf_dir, make_docx), ".docx")
-    blocks = _by_name(spark.read.format("lectern-docx").load(folder))
-    return kept(spark, office_files.word_pages(blocks).select("doc_id", "page_number", "text"), folder)
+    pages = _by_name(spark.read.format("lectern-docx").option("rows", "pages").load(folder))
+    return kept(spark, pages.select("doc_id", "page_number", "text"), folder)
 
 
 @query(_SHEETS)

@@ -2,7 +2,8 @@
 
 ``register`` makes them known to a session: word-processor files (blocks),
 spreadsheets (pages), CSV (pages), character dictionaries (entries) and plain
-files. All list a path once on the driver, deal the files out by size, and read a
+files. Of word-processor files the option ``rows`` asks for pages or cells in place of
+blocks: a file is read in one task, so they need no shuffle. All list a path once on the driver, deal the files out by size, and read a
 partition's files in its task; ``readStream`` has the files that arrive. Files are
 opened through Arrow's file systems, so the path is a folder, or one file, on
 any of those. Broken files are rows with an error_kind, never failed jobs.
@@ -25,6 +26,8 @@ from lectern.storage import bounded_batches
 
 #: What a partition has at most, and rows of a batch; the first two are options of that name.
 BYTES, FILES, ROWS = 32 << 20, 1_000, 1_000
+#: The same of zip files, whose XML may be twenty times as large.
+ZIPPED = 1 << 20
 _KEY = "doc_id bigint, path string, filename string"
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -71,9 +74,9 @@ def document_id(path: str) -> int:
 class _Files:
     """What readers of tables and streams have in common: options, and rows of files."""
 
-    def __init__(self, options: dict, ddl: str, rows):
+    def __init__(self, options: dict, ddl: str, rows, most_bytes: int = BYTES):
         self.path = options["path"]
-        self.most_bytes, self.most_files = int(options.get("bytesPerPartition", BYTES)), int(options.get("filesPerPartition", FILES))
+        self.most_bytes, self.most_files = int(options.get("bytesPerPartition", most_bytes)), int(options.get("filesPerPartition", FILES))
         self.fields = [c.strip().split() for c in ddl.split(",")]
         self.rows = rows
 
@@ -145,6 +148,7 @@ class _FileSource(DataSource):
 
     columns = ""
     format = ""
+    most_bytes = BYTES
 
     @classmethod
     def name(cls) -> str:
@@ -158,20 +162,23 @@ class _FileSource(DataSource):
         raise NotImplementedError
 
     def reader(self, schema) -> DataSourceReader:
-        return FileReader(self.options, self.schema(), self.rows)
+        return FileReader(self.options, self.schema(), self.rows, self.most_bytes)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return FileStreamReader(self.options, self.schema(), self.rows)
+        return FileStreamReader(self.options, self.schema(), self.rows, self.most_bytes)
 
 
 class WordFiles(_FileSource):
-    """Block rows of word-processor files, for ``office_files.word_pages`` and ``word_tables``."""
+    """Block rows of word-processor files, for ``office_files.word_pages`` and ``word_tables``; or what the option ``rows`` names."""
 
-    format, columns = "lectern-docx", office_files.BLOCK_COLUMNS
+    format, most_bytes = "lectern-docx", ZIPPED
 
-    @staticmethod
-    def rows(content: bytes) -> list[tuple]:
-        return office_files.block_rows(content)
+    def __init__(self, options: dict):
+        super().__init__(options)
+        what = options.get("rows", "blocks")
+        if what not in office_files.WORD_ROWS:
+            raise ValueError(f"{what!r} is none of {', '.join(office_files.WORD_ROWS)}")
+        self.columns, self.rows = office_files.WORD_ROWS[what]
 
 
 class ExcelFiles(_FileSource):

@@ -1,11 +1,13 @@
 """Data sources, the staged sink, table functions and the stateful stream."""
 
+import io
 import json
 import os
 import subprocess
 import sys
 import textwrap
 import time
+import zipfile
 from pathlib import Path
 
 import pytest
@@ -345,3 +347,30 @@ def test_pages_of_whole_files_are_those_of_their_blocks(spark):
     docs = spark.createDataFrame([*((n, bytearray(make_docx(of(n)))) for n in range(12)), (99, bytearray(b"broken"))], "doc_id bigint, content binary")
     shuffled = {tuple(r) for r in office_files.word_pages(office_files.word_blocks(docs)).collect()}
     assert {tuple(r) for r in office_files.read_word_pages(docs).collect()} == shuffled
+
+
+def test_word_files_are_packed_and_read_as_pages_without_a_shuffle(sources, tmp_path):
+    rows = [{"n": k + 1, "part": 7919 * k % 20_000, "supplier": 7} for k in range(600)]
+    for n in range(4):
+        (tmp_path / f"{n}.docx").write_bytes(make_docx(rows[: 200 * n]))
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "3.docx") as z:
+        assert z.testzip() is None and z.getinfo("word/document.xml").file_size > 10 * (tmp_path / "3.docx").stat().st_size
+    read = lambda what: sources.read.format("lectern-docx").option("rows", what).load(str(tmp_path))
+    expected = {tuple(r) for r in office_files.word_pages(read("blocks")).collect()}
+    pages = read("pages").select("doc_id", "page_number", "text", "error_kind")
+    assert {tuple(r) for r in pages.collect()} == expected and "Exchange" not in pages._jdf.queryExecution().executedPlan().toString()
+    cells = office_files.word_tables(read("blocks"))[1].select("doc_id", "page_number", "row_index", "column_index", "text")
+    assert {tuple(r) for r in read("cells").select(*cells.columns).collect()} == {tuple(r) for r in cells.collect()}
+    with pytest.raises(Exception, match="none of"):
+        read("lines").collect()
+
+
+def test_zip_files_are_those_of_zipfile():
+    with zipfile.ZipFile(io.BytesIO(make_xlsx([{"n": 1, "part": 3, "supplier": 7}]))) as z:
+        parts = {name: z.read(name).decode() for name in z.namelist()}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name), text)
+    assert len(parts) == 5 and make_xlsx([{"n": 1, "part": 3, "supplier": 7}]) == out.getvalue()
