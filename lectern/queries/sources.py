@@ -14,9 +14,9 @@ from lectern.operators import results
 from lectern.queries.base import kept, query, work_folder
 from lectern.queries.documents import _results
 from lectern.queries.files import make_docx, make_xlsx, written
-from lectern.sources import data_sources, office_files
+from lectern.sources import data_sources
 from lectern.sources.tables import table
-from lectern.storage import bounded_batches
+from lectern.storage import bounded_batches, removed
 from lectern.streaming import documents as streaming
 from lectern.streaming import languages
 
@@ -95,9 +95,10 @@ def dictionary_source(spark, sf_dir):
 def docx_stream(spark, sf_dir):
     """The same files as a stream of ``lectern-docx``, pages built from what has come."""
     folder, work = _as_files(spark, _contents(spark, sf_dir, make_docx), ".docx"), work_folder(spark)
-    stream = spark.readStream.format("lectern-docx").load(folder)
-    streaming.run_available(stream, lambda blocks: office_files.word_pages(_by_name(blocks)), f"{work}/out", f"{work}/state")
-    return kept(spark, spark.read.parquet(f"{work}/out").select("doc_id", "page_number", "text"), folder, work)
+    stream = spark.readStream.format("lectern-docx").option("rows", "pages").load(folder)
+    streaming.run_available(stream, lambda pages: _by_name(pages).select("doc_id", "page_number", "text"), f"{work}/out", f"{work}/state")
+    removed(spark, folder)  # what has come is in the table: its copy need not find room beside the files
+    return kept(spark, spark.read.parquet(f"{work}/out").select("doc_id", "page_number", "text"), work)
 
 
 @query(_CELLS)

@@ -374,3 +374,22 @@ def test_zip_files_are_those_of_zipfile():
         for name, text in parts.items():
             z.writestr(zipfile.ZipInfo(name), text)
     assert len(parts) == 5 and make_xlsx([{"n": 1, "part": 3, "supplier": 7}]) == out.getvalue()
+
+
+def test_streamed_word_files_go_before_their_pages_are_copied(spark, monkeypatch):
+    from urllib.parse import urlparse
+
+    from lectern.queries import sources as queries
+
+    folders, left = [], []
+    new, copy = queries.work_folder, queries.kept
+    monkeypatch.setattr(queries, "work_folder", lambda session: folders.append(new(session)) or folders[-1])
+
+    def kept(session, df, *those):
+        left.append([os.path.exists(urlparse(f).path) for f in folders])
+        return copy(session, df, *those)
+
+    monkeypatch.setattr(queries, "kept", kept)
+    streamed = {tuple(r) for r in queries.docx_stream(spark, "/root/testdata/sf0.001").collect()}
+    assert left == [[False, True]] and not any(os.path.exists(urlparse(f).path) for f in folders)
+    assert streamed and streamed == {tuple(r) for r in queries.docx_source(spark, "/root/testdata/sf0.001").collect()}
