@@ -267,3 +267,64 @@ def test_learned_languages_need_no_row_for_each_run(spark, monkeypatch):
     found = language_model.identify(rows, language_model.learn(rows), ["doc_id"])
     assert {r["doc_id"]: r["found"] for r in found.collect()} == {1: "en", 2: "de", 3: "en", 4: None, 5: None}
     assert "Explode" not in found._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sheets_with_plain_rows_are_read_as_their_xml(spark):
+    frame = lambda rows, before="", after="": f'{before}<worksheet xmlns="{S}"><sheetData>{rows}</sheetData>{after}</worksheet>'.encode()
+    row = '<row r="3" spans="2:9"><c r="B3" s="1"/><c r="AB3" t="s"><v>0</v></c><c r="C3" s="2" t="b"><v>1</v></c><c r="D3" t="str"><v>x; =1</v></c><c r="E3"><v>-2.5</v></c></row>'
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    plain = [frame(row), frame(row * 2 + '<row r="9"></row>', head, '<pageMargins left="0.7"/>'), frame(""), f'<worksheet xmlns="{S}"><sheetData/></worksheet>'.encode()]
+    for part in plain:
+        assert [c for c in office_files._plain_cells(part) if c[-1] is not None] == [c for c in office_files._parsed_cells(part) if c[-1] is not None]
+    other = [
+        frame(row.replace("x;", "&lt;")), frame(row.replace("x;", "é")), frame(row.replace("</v></c></row>", "</v></c>")), frame(row.replace("<v>0</v>", "<f>A1</f><v>0</v>")), frame(row.replace("<v>0</v>", "<v></v>")),
+        frame(row) + b"<", frame(row, "<!-- <sheetData>"), frame(row).replace(S.encode(), b"urn:other"), frame(row, after=f"<sheetData>{row}</sheetData>"), frame(row + "<!-- a -->"), frame(f"\n{row}"),
+        frame(row, '<?xml version="1.0" encoding="latin-1"?>'), b"", b"<sheetData>",
+    ]
+    assert [office_files._plain_cells(part) for part in other] == [None] * len(other)
+
+
+def test_archives_are_read_as_zipfile_reads_them():
+    parts = {"a.xml": b"<a/>" * 300, "b.xml": b"", "xl/c.xml": b"text"}
+
+    def zipped(kind, comment=b"", date=(1980, 1, 1, 0, 0, 0), stream=False):
+        out = io.BytesIO()
+        with zipfile.ZipFile(Unseekable(out) if stream else out, "w", kind) as z:
+            z.comment = comment
+            for name, data in parts.items():
+                z.writestr(zipfile.ZipInfo(name, date), data, kind)
+        return out.getvalue()
+
+    class Unseekable(io.RawIOBase):
+        def __init__(self, out):
+            self.out = out
+
+        def writable(self):
+            return True
+
+        def write(self, data):
+            return self.out.write(data)
+
+    stored, deflated = zipped(zipfile.ZIP_STORED), zipped(zipfile.ZIP_DEFLATED)
+    for content in (stored, deflated, zipped(zipfile.ZIP_DEFLATED, stream=True)):
+        archive = office_files.Archive(content)
+        assert {n: archive.part(n) for n in parts} == parts and archive.part("none") is None and archive.zip is None
+    for content in (zipped(zipfile.ZIP_DEFLATED, b"a comment"), zipped(zipfile.ZIP_LZMA), b"before" + stored):
+        archive = office_files.Archive(content)
+        assert {n: archive.part(n) for n in parts} == parts and archive.zip is not None
+
+    def outcome(read):
+        try:
+            return {n: read(n) for n in parts}
+        except Exception as e:
+            return type(e)
+
+    for content in (stored, deflated):  # a byte that is wrong, anywhere, and files cut short
+        for k in range(len(content)):
+            for bad in (content[:k] + bytes([content[k] ^ 0x55]) + content[k + 1 :], content[:k]):
+                expected = outcome(lambda n: zipfile.ZipFile(io.BytesIO(bad)).read(n))  # noqa: B023
+                found = outcome(lambda n: office_files.Archive(bad).part(n) if n.encode() else None)  # noqa: B023
+                if isinstance(expected, dict):
+                    assert found == expected, k
+                elif isinstance(found, dict):  # a part that is not there by its name is no error here
+                    assert expected is KeyError or found == parts, (k, expected)
